@@ -59,12 +59,12 @@ def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", rati
 
 
 ORACLE = f"""
-WITH l AS (SELECT doc_id, source, unnest(list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x)))) AS line FROM documents WHERE source IS NOT NULL),
+WITH l AS (SELECT doc_id, source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line FROM documents WHERE source IS NOT NULL),
 h AS (SELECT source, count(*) AS n_host FROM documents WHERE source IS NOT NULL GROUP BY source),
 b AS (SELECT l.source, line FROM l JOIN h ON l.source = h.source WHERE line <> '' GROUP BY l.source, line, n_host HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * n_host),
 s AS (SELECT source, list(line) AS bad FROM b GROUP BY source),
 r AS (SELECT doc_id, d.source, string_split(text, chr(10)) AS old,
-  list_filter(string_split(text, chr(10)), x -> trim(x) = '' OR NOT list_contains(coalesce(bad, []), trim(x))) AS new
+  list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(coalesce(bad, []), trim(x))) AS new
   FROM documents d LEFT JOIN s ON d.source = s.source)
 SELECT doc_id, source, array_to_string(new, chr(10)) AS text,
   CASE WHEN array_to_string(old, '') = '' AND len(old) = 1 THEN 0 ELSE len(old) END::INTEGER AS n_lines,
