@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, line_dedup, packing
+from textloom.llm import decontaminate, line_dedup, near_dedup, packing
 from textloom.llm.session import table
 
 
@@ -17,9 +17,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op8_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op8_packing, op9_near_dedup, op10_line_dedup)}
 ORACLES = {"op10_line_dedup": line_dedup.ORACLE}

@@ -39,12 +39,18 @@ def shingle_bits(shingles: np.ndarray) -> np.ndarray:
     return np.unpackbits(lanes.view(np.uint8).reshape(*shingles.shape, BITS // 8), axis=-1).astype(np.int8) * 2 - 1
 
 
-def fingerprints(shingles: np.ndarray) -> np.ndarray:
-    """One SimHash (bytes) for each row of shingles; a shingle counts as often as it occurs."""
-    out = np.empty((len(shingles), BITS // 8), np.uint8)
-    step = max(1, 4_000_000 // (BITS * max(1, shingles.shape[1])))
-    for i in range(0, len(shingles), step):
-        out[i : i + step] = np.packbits(shingle_bits(shingles[i : i + step]).sum(axis=1, dtype=np.int32) > 0, axis=-1)
+def fingerprints(shingles: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """The SimHash (as bytes) of the n shingles from each begin; a shingle counts as often as it occurs."""
+    out = np.empty((len(begin), BITS // 8), np.uint8)
+    step = max(1, 8_000_000 // (BITS * n))
+    for i in range(0, len(begin), step):
+        lot = begin[i : i + step]
+        used, where = np.unique(lot[:, None] + np.arange(n), return_inverse=True)
+        bits = shingle_bits(shingles[used])
+        sums = np.zeros((len(lot), BITS), np.int16 if n < 30_000 else np.int32)
+        for column in where.reshape(len(lot), n).T:
+            sums += bits[column]
+        out[i : i + step] = np.packbits(sums > 0, axis=-1)
     return out
 
 
@@ -67,32 +73,26 @@ class Index:
             if len(own):
                 self.ids.append(item)
                 self.items.append(np.unique(own, return_counts=True))
-                prints.append(fingerprints(own[None, :])[0])
+                prints.append(fingerprints(own, np.zeros(1, np.int64), len(own))[0])
         self.prints = np.array(prints, np.uint8).reshape(-1, BITS // 8)
         self.sizes = np.array([int(c.sum()) for _, c in self.items], np.int64)
         self.vocabulary = np.unique(np.concatenate([s for s, _ in self.items])) if self.items else np.zeros(0, np.uint64)
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[(self.vocabulary >> np.uint64(42)).astype(np.int64)] = True
-        self.probes = near_bytes(RADIUS // BLOCKS)
-        #: by block: items sorted by its value, and where each value begins
-        self.order = np.argsort(self.prints, axis=0, kind="stable")
-        self.first = np.array([np.searchsorted(np.sort(self.prints[:, b]), np.arange(257)) for b in range(BITS // 8)])
+        #: for each block and value, a bitmap of the items whose block is near it: the probes' lists, joined
+        near = np.zeros((256, 256), bool)
+        near[np.arange(256)[:, None], np.arange(256)[:, None] ^ near_bytes(RADIUS // BLOCKS)[None, :]] = True
+        self.lists = np.stack([np.packbits(near[:, self.prints[:, b]], axis=1) for b in range(BITS // 8)])
 
     def needed(self, n: int) -> int:
         return int(np.ceil(2 * n * THRESHOLD / (1 + THRESHOLD) - 1e-9))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (fingerprint, item, distance) within RADIUS, each found once."""
-        found = []
-        for b in range(BITS // 8):
-            value = prints[:, b, None] ^ self.probes[None, :]
-            lo, hi = self.first[b][value], self.first[b][value.astype(np.int64) + 1]
-            n = (hi - lo).ravel()
-            who = np.repeat(np.repeat(np.arange(len(prints)), len(self.probes)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo.ravel(), n)
-            found.append(who * len(self.ids) + self.order[at, b])
-        pairs = np.unique(np.concatenate(found))
-        who, item = pairs // len(self.ids), pairs % len(self.ids)
+        some = self.lists[0][prints[:, 0]]
+        for b in range(1, BITS // 8):
+            some |= self.lists[b][prints[:, b]]
+        who, item = np.nonzero(np.unpackbits(some, axis=1, count=len(self.ids)))
         far = np.bitwise_count(prints[who] ^ self.prints[item]).sum(axis=1)
         ok = far <= RADIUS
         return who[ok], item[ok], far[ok]
@@ -115,28 +115,29 @@ class Index:
         sh, at, row, hit = sh[use], at[use], row[use], hit[use]
         hits = np.concatenate([[0], np.cumsum(hit)])
         best: dict[tuple[int, int], tuple] = {}
+        found = []  # windows: first shingle, number of shingles, fingerprint
         for n in np.unique(self.sizes):
-            if len(sh) < n:
-                continue
-            start = np.flatnonzero((hits[n:] - hits[:-n] >= self.needed(n)) & (row[n - 1 :] == row[: len(row) - n + 1]))
-            step = max(1, 2_000_000 // int(n))
-            for i in range(0, len(start), step):
-                begin = start[i : i + step]
-                grams = sh[begin[:, None] + np.arange(n)]
-                who, item, far = self.candidates(fingerprints(grams))
-                right = self.sizes[item] == n
-                for w, m, d in zip(who[right], item[right], far[right], strict=True):
-                    own, count = self.items[m]
-                    seen, times = np.unique(grams[w], return_counts=True)
-                    at_own = np.minimum(np.searchsorted(own, seen), len(own) - 1)
-                    both = int(np.minimum(times, np.where(own[at_own] == seen, count[at_own], 0)).sum())
-                    sim = both / (2 * int(n) - both)
-                    if sim >= THRESHOLD:
-                        j = int(begin[w])
-                        new = (int(row[j]), int(m), int(at[j] - bounds[row[j]]), int(n) + SHINGLE - 1, sim, int(d))
-                        old = best.get(new[:2])
-                        if old is None or (-sim, new[2]) < (-old[4], old[2]):
-                            best[new[:2]] = new
+            if len(sh) >= n:
+                begin = np.flatnonzero((hits[n:] - hits[:-n] >= self.needed(n)) & (row[n - 1 :] == row[: len(row) - n + 1]))
+                if len(begin):
+                    found.append((begin, np.full(len(begin), n), fingerprints(sh, begin, int(n))))
+        begins, sizes, prints = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        step = max(1, 20_000_000 // len(self.ids))
+        for i in range(0, len(begins), step):
+            who, item, far = self.candidates(prints[i : i + step])
+            right = self.sizes[item] == sizes[who + i]
+            for w, m, d in zip(who[right] + i, item[right], far[right], strict=True):
+                j, n = int(begins[w]), int(sizes[w])
+                own, count = self.items[m]
+                seen, times = np.unique(sh[j : j + n], return_counts=True)
+                at_own = np.minimum(np.searchsorted(own, seen), len(own) - 1)
+                both = int(np.minimum(times, np.where(own[at_own] == seen, count[at_own], 0)).sum())
+                sim = both / (2 * n - both)
+                if sim >= THRESHOLD:
+                    new = (int(row[j]), int(m), int(at[j] - bounds[row[j]]), n + SHINGLE - 1, sim, int(d))
+                    old = best.get(new[:2])
+                    if old is None or (-sim, new[2]) < (-old[4], old[2]):
+                        best[new[:2]] = new
         return [best[k] for k in sorted(best)]
 
 
