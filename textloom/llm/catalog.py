@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, line_dedup, near_dedup, packing
+from textloom.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
 from textloom.llm.session import table
 
 
@@ -13,6 +12,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.find_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op8_packing, op9_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op6_toxicity, op8_packing, op9_near_dedup, op10_line_dedup)}
 ORACLES = {"op10_line_dedup": line_dedup.ORACLE}

@@ -7,21 +7,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir; set as the checkpoint folder.
 
-    The folder is spark.checkpoint.dir. Only where it is unset and the session is local does a
-    temporary folder take its place.
+    Only where it is unset and the session is local does a temporary folder take its place.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="textloom-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="textloom-")
         sc.setCheckpointDir(folder)
+    return folder or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and read back from the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
