@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
+from textloom.llm import decontaminate, line_dedup, near_dedup, packing, substring_dedup, toxicity
 from textloom.llm.session import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,5 +33,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op6_toxicity, op8_packing, op9_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontaminate, op6_toxicity, op8_packing, op9_near_dedup, op10_line_dedup)}
 ORACLES = {"op10_line_dedup": line_dedup.ORACLE}

@@ -94,7 +94,7 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
             j += 1
         n, i = j - i, j
         if char in LEET:
-            out.append([(x * k, AS_SYMBOL * n + (0.0 if k == n else REPEATED)) for x in LEET[char] for k in range(1, min(n, 2) + 1)] + [(" ", ITSELF * n)])
+            out.append([(x * k, AS_SYMBOL * n + (0.0 if k == n else REPEATED if n > 2 else 3 * REPEATED)) for x in LEET[char] for k in range(1, min(n, 2) + 1)] + [(" ", ITSELF * n)])
         elif char in SEPARATORS:
             out.append([("", APART), (" ", APART)])
         elif "a" <= (x := _plain(char)) <= "z" and len(x) == 1:
