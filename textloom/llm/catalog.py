@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import decontaminate, line_dedup, near_dedup, packing, substring_dedup, toxicity
+from textloom.llm import decontaminate, line_dedup, near_dedup, packing, substring_dedup, token_binary, token_counts, toxicity
 from textloom.llm.session import table
 
 
@@ -16,6 +16,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.write_blocks(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.find_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -33,5 +41,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontaminate, op6_toxicity, op8_packing, op9_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_decontaminate, op4_token_binary, op5_token_counts, op6_toxicity, op8_packing, op9_near_dedup, op10_line_dedup)}
 ORACLES = {"op10_line_dedup": line_dedup.ORACLE}
