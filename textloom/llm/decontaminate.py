@@ -42,7 +42,7 @@ def shingle_bits(shingles: np.ndarray) -> np.ndarray:
 def fingerprints(shingles: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
     """The SimHash (as bytes) of the n shingles from each begin; a shingle counts as often as it occurs."""
     out = np.empty((len(begin), BITS // 8), np.uint8)
-    step = max(1, 8_000_000 // (BITS * n))
+    step = max(1, 4_000_000 // (BITS * n))
     for i in range(0, len(begin), step):
         lot = begin[i : i + step]
         used, where = np.unique(lot[:, None] + np.arange(n), return_inverse=True)
@@ -122,7 +122,7 @@ class Index:
                 if len(begin):
                     found.append((begin, np.full(len(begin), n), fingerprints(sh, begin, int(n))))
         begins, sizes, prints = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        step = max(1, 20_000_000 // len(self.ids))
+        step = max(1, 1_000_000 // len(self.ids))
         for i in range(0, len(begins), step):
             who, item, far = self.candidates(prints[i : i + step])
             right = self.sizes[item] == sizes[who + i]
