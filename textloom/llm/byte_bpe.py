@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import tiktoken
@@ -30,10 +31,20 @@ def encoding(path: str = TOKENIZER) -> tiktoken.Encoding:
     return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Chunks remembered by a worker; some 150 bytes each.
+CHUNKS = 1_000_000
+
+
 @lru_cache(2)
 def _cache(path: str) -> SpanCache:
     encode = encoding(path).encode_ordinary
-    return SpanCache(lambda chunks: [np.array(encode(c.decode()), np.uint16) for c in chunks], np.uint16)
+
+    def ids(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(encode, map(bytes.decode, spans)))
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum())), n
+
+    return SpanCache(ids, np.uint16, CHUNKS)
 
 
 def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

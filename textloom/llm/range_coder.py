@@ -4,7 +4,7 @@ Every block starts from the same empty model, so blocks decode independently; nu
 block at a time. Three experts predict the next id: order 2 and order 1 by the id that last followed the same two ids or one id (hashed
 contexts with a confidence), order 0 by adaptive byte counts of the ids not predicted. The experts' probabilities are
 mixed with weights that follow their likelihoods (Bayes with a fixed share). A mixed interval codes
-"order 2's id", "order 1's id" or "other"; another id follows as two bytes, the low one in the context of the high one.
+"order 2's id", "order 1's id" or another id's high byte, whose low byte follows in the context of the high one.
 The model uses integers and basic double arithmetic only, so both directions compute the same bits.
 """
 
@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import numpy as np
 
-TOKENS, TOTAL, SLOTS, CLASSES = 4096, 1 << 16, 1 << 11, 8
+TOKENS, TOTAL, SLOTS, CLASSES = 4096, 1 << 24, 1 << 11, 8
+#: What the predicted ids leave of TOTAL for the others.
+REST = TOTAL >> 5
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
 SHARE, RATE, MOST = 0.02, 1 / 24, 0.96
@@ -49,8 +51,8 @@ class _Model:
         same = self.id2 == self.id1
         f2 = np.minimum(f2 + f1 * same, MOST)
         f1 = np.minimum(f1 * ~same, MOST - f2)
-        self.end2 = (f2 * (TOTAL - 2000)).astype(np.int64) + 1
-        self.end1 = (f1 * (TOTAL - 2000)).astype(np.int64) + self.end2 + 1
+        self.end2 = (f2 * (TOTAL - REST)).astype(np.int64) + 1
+        self.end1 = (f1 * (TOTAL - REST)).astype(np.int64) + self.end2 + 1
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, other: np.ndarray) -> None:
         """hit1 and hit2 may both hold; other: neither."""
@@ -84,21 +86,27 @@ class _Encoder:
 
     def code(self, lane: np.ndarray | slice, begin: np.ndarray, size: np.ndarray, total: np.ndarray | None = None) -> None:
         """Without total, it is TOTAL."""
-        r = self.range[lane] >> _U(16) if total is None else self.range[lane] // total.astype(np.uint64)
+        r = self.range[lane] >> _U(24) if total is None else self.range[lane] // total.astype(np.uint64)
         low, r = self.low[lane] + begin.astype(np.uint64) * r, r * size.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + r)) < _TOP
-            k = np.flatnonzero(settled | (r < _BOT))
-            if not len(k):
-                break
-            lk, rk = low.take(k), r.take(k)
-            rk = np.where(settled.take(k), rk, (_U(0) - lk) & (_BOT - _U(1)))
+        settled = (low ^ (low + r)) < _TOP
+        k = np.flatnonzero(settled | (r < _BOT))
+        while len(k):
+            lk, rk, settled = low.take(k), r.take(k), settled.take(k)
+            rk = np.where(settled, rk, (_U(0) - lk) & (_BOT - _U(1))) << _U(16)
             who = k if isinstance(lane, slice) else lane.take(k)
             n = self.n.take(who)
             self.out[n + who * self.width] = lk >> _U(48)
             self.n[who] = n + 1
-            low[k] = lk << _U(16)
-            r[k] = rk << _U(16)
+            lk <<= _U(16)
+            low[k], r[k] = lk, rk
+            settled = (lk ^ (lk + rk)) < _TOP
+            more = settled | (rk < _BOT)
+            k = k[more]
+            settled = settled[more]
+            if len(k):
+                full = np.zeros(len(low), bool)
+                full[k] = settled
+                settled = full
         self.low[lane], self.range[lane] = low, r
 
     def finish(self) -> list[bytes]:
@@ -158,18 +166,24 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.predict(n)
         hit2, hit1 = now == model.id2, now == model.id1
         other = ~(hit2 | hit1)
-        begin = np.where(hit2, 0, np.where(hit1, model.end2, model.end1))
-        coder.code(slice(0, n), begin, np.where(hit2, model.end2, np.where(hit1, model.end1, TOTAL)) - begin)
+        begin = np.where(hit2, 0, model.end2)
+        size = np.where(hit2, model.end2, model.end1 - model.end2)
         lane = np.flatnonzero(other)
         if len(lane):
-            x = now.take(lane)
+            x, first = now.take(lane), model.end1.take(lane)
             high, byte = x >> 8, x & 255
+            at, rest, total = lane * 257 + high, TOTAL - first, model.high_sum.take(lane * 257 + 256)
+            low = rest * model.high_sum.take(at) // total
+            begin[lane] = first + low
+            size[lane] = rest * model.high_sum.take(at + 1) // total - low
+            coder.code(slice(0, n), begin, size)
             row = lane * CLASSES + np.minimum(high, CLASSES - 1)
-            for sums, part, value in ((model.high_sum, lane, high), (model.low_sum, row, byte)):
-                at = part * 257 + value
-                begin = sums.take(at)
-                coder.code(lane, begin, sums.take(at + 1) - begin, sums.take(part * 257 + 256))
+            at = row * 257 + byte
+            low = model.low_sum.take(at)
+            coder.code(lane, low, model.low_sum.take(at + 1) - low, model.low_sum.take(row * 257 + 256))
             model.learn_other(lane, high, byte, row)
+        else:
+            coder.code(slice(0, n), begin, size)
         model.update(now, hit2, hit1, other)
     out: list[bytes] = [b""] * len(blocks)
     for i, data in zip(order, coder.finish(), strict=True):
@@ -192,21 +206,24 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         everyone = np.arange(n)
         at = coder.target(everyone, TOTAL)
         first, second = at < model.end2, (at >= model.end2) & (at < model.end1)
-        begin = np.where(first, 0, np.where(second, model.end2, model.end1))
-        coder.take(everyone, begin, np.where(first, model.end2, np.where(second, model.end1, TOTAL)) - begin)
+        begin = np.where(first, 0, model.end2)
+        size = np.where(first, model.end2, model.end1 - model.end2)
         now = np.where(first, model.id2, model.id1).astype(np.int64)
         lane = np.flatnonzero(~(first | second))
         if len(lane):
-            found, row, i = [], lane, np.arange(len(lane))
-            for table in (model.high_sum, model.low_sum):
-                sums = table[row]
-                value = (sums <= coder.target(lane, sums[:, 256])[:, None]).sum(axis=1) - 1
-                coder.take(lane, sums[i, value], sums[i, value + 1] - sums[i, value])
-                found.append(value)
-                if len(found) == 1:
-                    row = lane * CLASSES + np.minimum(value, CLASSES - 1)
-            now[lane] = (found[0] << 8) | found[1]
-            model.learn_other(lane, *found, row)
+            sums, i = model.high_sum[lane].astype(np.int64), np.arange(len(lane))
+            ends = (TOTAL - model.end1[lane])[:, None] * sums // sums[:, 256:]
+            high = (ends <= (at - model.end1)[lane][:, None]).sum(axis=1) - 1
+            begin[lane], size[lane] = model.end1[lane] + ends[i, high], ends[i, high + 1] - ends[i, high]
+            coder.take(everyone, begin, size)
+            row = lane * CLASSES + np.minimum(high, CLASSES - 1)
+            sums = model.low_sum[row]
+            byte = (sums <= coder.target(lane, sums[:, 256])[:, None]).sum(axis=1) - 1
+            coder.take(lane, sums[i, byte], sums[i, byte + 1] - sums[i, byte])
+            now[lane] = (high << 8) | byte
+            model.learn_other(lane, high, byte, row)
+        else:
+            coder.take(everyone, begin, size)
         ids[t, :n] = now
         hit2, hit1 = now == model.id2, now == model.id1
         model.update(now, hit2, hit1, ~(hit2 | hit1))

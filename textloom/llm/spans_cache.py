@@ -10,12 +10,12 @@ from textloom.llm.arrow_text import span_hashes
 
 
 class SpanCache:
-    """Maps spans to rows of results; compute(list of spans) gives one tuple of numbers for each, or arrays for ragged results.
+    """Maps spans to rows of results; compute(list of spans) gives all results one after another and the number of each span's.
 
     The cache empties when it holds `limit` spans; what was computed doesn't depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], list[np.ndarray]], dtype: type, limit: int = 400_000):
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, limit: int = 400_000):
         self.compute, self.dtype, self.limit = compute, dtype, limit
         self.clear()
 
@@ -24,16 +24,14 @@ class SpanCache:
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
         self.first, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _add(self, results: list[np.ndarray]) -> None:
-        n = np.array([len(x) for x in results], np.int64)
-        at, total = len(self.row) - len(results), int(n.sum())
+    def _add(self, results: np.ndarray, n: np.ndarray) -> None:
+        at, total = len(self.row) - len(n), len(results)
         while at + len(n) > len(self.first):
             self.first, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.n))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.first[at : at + len(n)], self.n[at : at + len(n)] = self.used + np.cumsum(n) - n, n
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(results)
+        self.flat[self.used : self.used + total] = results
         self.used += total
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +48,7 @@ class SpanCache:
             raw, a, b = data.tobytes(), starts[where[new]].tolist(), ends[where[new]].tolist()
             for i in new:
                 rows[i] = self.row[listed[i]] = len(self.row)
-            self._add(self.compute([raw[x:y] for x, y in zip(a, b, strict=True)]))
+            self._add(*self.compute([raw[x:y] for x, y in zip(a, b, strict=True)]))
         row = np.array(rows, np.int64)[back]
         first, n = self.first[row], self.n[row]
         total = int(n.sum())

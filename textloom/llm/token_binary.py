@@ -23,7 +23,7 @@ from textloom.llm.arrow_text import slices
 from textloom.llm.byte_bpe import TOKENIZER, token_ids
 
 #: Blocks coded in lockstep.
-LANES = 512
+LANES = 2048
 SCHEMA = "doc_ids array<{}>, first_tokens array<long>, n_tokens array<long>, ids long, crc32 long, payload binary"
 
 

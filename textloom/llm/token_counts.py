@@ -77,7 +77,12 @@ class Segmenter:
 @lru_cache(1)
 def _cache(path: str) -> SpanCache:
     segmenter = Segmenter(vocabulary(path))
-    return SpanCache(lambda words: list(np.array(segmenter.best([MARK + w.decode() for w in words]), np.float64)), np.float64)
+
+    def scores(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = segmenter.best([MARK + w.decode() for w in words])
+        return np.array(found, np.float64).ravel(), np.full(len(found), 2, np.int64)
+
+    return SpanCache(scores, np.float64)
 
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
