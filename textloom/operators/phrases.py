@@ -37,16 +37,18 @@ def _replacer(phrases: list[str]):
     """
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
+    automaton, places = ahocorasick.Automaton(), {}
     for i, phrase in enumerate(phrases):
-        automaton.add_word(phrase, i)
+        places.setdefault(phrase, []).append(i)
+    for phrase, at in places.items():
+        automaton.add_word(phrase, at)
     if phrases:
         automaton.make_automaton()
 
     def replace(text: str | None) -> str | None:
         if not text or not phrases:
             return text
-        for i in sorted({i for _, i in automaton.iter(text)}):
+        for i in sorted({i for _, at in automaton.iter(text) for i in at}):
             text = text.replace(phrases[i], phrases[i].replace(" ", "_"))
         return text
 
