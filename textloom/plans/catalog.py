@@ -203,7 +203,7 @@ def tf_sum_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return rounded(feature_matrix(WORDS.fit(docs).transform(docs))[0], "value")
+    return rounded(feature_matrix(WORDS.fit(docs).transform(docs).persist())[0], "value")
 
 
 # Similarities: items with items, documents with items
@@ -212,7 +212,7 @@ def feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs, own = documents(spark, sf_dir), items(spark, sf_dir)
     model = WORDS.fit(docs)
-    return model.transform(docs), docs, model.transform(own), own
+    return model.transform(docs).persist(), docs, model.transform(own).persist(), own
 
 
 def _self_sim(sim: str, normalize: bool = False) -> Callable:
@@ -247,7 +247,7 @@ for _sim in ("linear", "histint", "gaussian"):
 def top_k_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents most similar to each, by the cosine of tf-idf features."""
     docs = documents(spark, sf_dir)
-    features = WORDS.fit(docs).transform(docs)
+    features = WORDS.fit(docs).transform(docs).persist()
     return rounded(pairs.nearest_by_dot(features, docs, features, docs, 10), "sim")
 
 
@@ -260,7 +260,7 @@ def top_k_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Features, documents without labels, documents with labels, labels."""
     docs, known = documents(spark, sf_dir), labels(spark, sf_dir)
-    return WORDS.fit(docs).transform(docs), docs.join(known, "doc_id", "left_anti").select("doc_id"), docs.join(known, "doc_id", "left_semi").select("doc_id"), known
+    return WORDS.fit(docs).transform(docs).persist(), docs.join(known, "doc_id", "left_anti").select("doc_id"), docs.join(known, "doc_id", "left_semi").select("doc_id"), known
 
 
 def _knn(adapt: bool, weight: bool) -> Callable:
