@@ -1,5 +1,6 @@
 import random
 
+from textloom.llm import substring_dedup
 from textloom.llm.arrow_text import word_list
 from textloom.llm.substring_dedup import pack_ints, repeated_passages, unpack_ints
 from tests.llm.conftest import docs_frame, words
@@ -34,6 +35,15 @@ def test_against_brute_force(spark):
     assert {(r.doc_id, p) for r in found for p in range(r.first_word, r.first_word + r.n_words)} == covered(texts, 5)
 
 
+def test_verification_by_join_gives_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    shared = words(rng, 30)
+    docs = docs_frame(spark, [(i, f"{words(rng, 9)} {shared} {words(rng, 9)}", "s") for i in range(12)])
+    expected = set(repeated_passages(docs, k=10).collect())
+    monkeypatch.setattr(substring_dedup, "BROADCAST_SPANS", -1)
+    assert set(repeated_passages(docs, k=10).collect()) == expected and len(expected) == 11
+
+
 def test_a_long_passage_is_one_row(spark):
     rng = random.Random(2)
     passage = words(rng, 70)

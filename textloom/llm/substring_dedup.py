@@ -33,7 +33,7 @@ from textloom.llm.session import cut
 
 K = 50
 #: Bytes of text packed at a time, edges a bucket should get, and spans up to which verification broadcasts its requests.
-PACKED_BYTES, BUCKET_EDGES, BROADCAST_SPANS = 3_000_000, 2_000_000, 2_000_000
+PACKED_BYTES, BUCKET_EDGES, BROADCAST_SPANS = 3_000_000, 2_000_000, 200_000
 _U = np.uint64
 
 
