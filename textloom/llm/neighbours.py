@@ -104,8 +104,14 @@ class Index:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, bits: int):
         order = np.argsort(ids)
         self.ids, self.vectors, self.codes, self.bits = ids[order], vectors[order], codes[order], bits
+        self.words = self._words(self.codes)
         self.near: dict[int, list[np.ndarray]] = {}
 
+    @staticmethod
+    def _words(codes: np.ndarray) -> np.ndarray:
+        """Codes as 64-bit words, padded with zeros."""
+        return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+
     def bitmaps(self, t: int) -> list[np.ndarray]:
         """For each substring and each of its 256 values, a bitmap of the codes within t bits there: the joined lists of all probes."""
         if t not in self.near:
@@ -126,10 +132,12 @@ class Index:
         if who is not None:
             found[who, item] = np.bitwise_count(codes[who] ^ self.codes[item]).sum(axis=1) < (t + 1) * m
             return found
-        far = np.zeros(found.shape, np.uint8)
-        for b in range(m):
-            far += np.bitwise_count(codes[:, b, None] ^ self.codes[None, :, b])
-        return found & (far < (t + 1) * m)
+        own = self._words(codes)
+        far = np.bitwise_count(own[:, 0, None] ^ self.words[None, :, 0]).astype(np.uint8 if self.bits < 256 else np.uint16)
+        for b in range(1, own.shape[1]):
+            far += np.bitwise_count(own[:, b, None] ^ self.words[None, :, b])
+        found &= far < (t + 1) * m
+        return found
 
     def search(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query position, neighbour id and similarity of the k best of each query."""
