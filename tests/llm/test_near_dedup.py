@@ -107,3 +107,31 @@ def test_search_keeps_components_of_all_pairs():
     for a, b in d.links(sig):
         joined[a, b] = joined[b, a] = True
     assert ((np.linalg.matrix_power(joined.astype(float), 30) > 0) == reach).all()
+
+
+def test_exact_similarity():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = (Counter(rng.randrange(12) for _ in range(rng.randrange(1, 40))) for _ in range(2))
+        x, y = (sorted(z.items()) for z in (a, b))
+        exact = sum(1 / sum(max(a[z] / a[i], b[z] / b[i]) for z in a.keys() | b.keys()) for i in a.keys() & b.keys())
+        (sa, na), (sb, nb) = ((np.array([k for k, _ in z], np.uint64), np.array([float(v) for _, v in z])) for z in (x, y))
+        assert abs(d.probability_jaccard(sa, na, sb, nb) - exact) < 1e-9
+
+
+def test_pairs_near_the_threshold_are_decided_exactly(spark):
+    """Pairs of 0.4 to 0.7: none below the threshold is linked, and above it only those are missed that share no band."""
+    rng = random.Random(7)
+    texts, truth = [], []
+    for _ in range(300):
+        a = words(rng, 120)
+        b = changed(rng, a, rng.randrange(8, 18))
+        texts += [a, b]
+        truth.append(similarity(a, b))
+    docs = docs_frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    linked = {r.group_id // 2 for r in d.near_duplicates(docs).collect()}
+    h, _, _, bounds = hashed(*flat(pa.array(texts)))
+    sig = d.signatures(*d.weighted_shingles(h, bounds), len(texts)).reshape(-1, 2, d.BANDS, d.ROWS)
+    banded = (sig[:, 0] == sig[:, 1]).all(axis=2).any(axis=1)
+    assert sum(0.5 < s < 0.6 for s in truth) > 30
+    assert linked == {i for i, s in enumerate(truth) if s >= d.THRESHOLD and banded[i]}
