@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The length of the text follows it."""
-    cut = line_dedup.dedup_lines(docs)
+    """Copies of a document count as one page, as near_dedup comes later; the length of the text follows it."""
+    cut = line_dedup.dedup_lines(docs, copies=False)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 

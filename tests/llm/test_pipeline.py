@@ -47,6 +47,19 @@ def test_every_decision_takes_effect(spark, tmp_path):
     assert all(sum(r.n_tokens for r in packed if r.doc_id == i) == len(after[i].text.split()) for i in after)
 
 
+def test_copy_group_above_the_ratio_keeps_its_content(spark, tmp_path):
+    rng = random.Random(12)
+    copied = "\n".join(words(rng, 12) for _ in range(4))
+    rows = [(i, "Cookie notice\n" + (copied + " " * (i % 2) if i % 3 == 0 else words(rng, 40)), "site") for i in range(60)]
+    now = docs_frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, folder)
+    assert {r.doc_id: r.text.strip() for r in now.collect()} == {i: t.removeprefix("Cookie notice\n").strip() for i, t, _ in rows if i % 3 or i == 0}
+
+
 def test_empty_tables(spark, tmp_path):
     folder = str(tmp_path)
     docs_frame(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")

@@ -8,7 +8,8 @@ lists are broadcast only if there are few, and joined otherwise.
 
 Defined results: lines are compared without leading and trailing spaces; blank lines always stay. A
 missing text stays missing. A page without a host keeps all its lines. A repeated row counts as
-another page. A page whose lines all go keeps an empty text. Other columns pass through untouched.
+another page, and so does a copy, unless copies is False: then pages of a host with the same different lines in the same order count as one,
+so that no copy group makes its own lines boilerplate. A page whose lines all go keeps an empty text. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -31,19 +32,21 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(host, line, n_pages, n_host): hashes of the lines that exceed the ratio."""
     blank = F.xxhash64(F.lit(""))
     seen = F.array_distinct(F.concat(F.array(blank), F.transform(F.coalesce(_lines(F.col(text)), F.array()), _key)))
-    counts = pages.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.explode(seen).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages"))
+    own = pages.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), seen.alias("seen"))
+    own = own if copies else own.distinct()
+    counts = own.select("host", F.explode("seen").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages"))
     counts = counts.filter((F.col("n_pages") >= min_pages) | (F.col("line") == blank))
     lines, hosts = counts.filter(F.col("line") != blank), counts.filter(F.col("line") == blank).select("host", F.col("n_pages").alias("n_host"))
     return lines.join(hosts, "host").filter(F.col("n_pages") > ratio * F.col("n_host")).select("host", "line", "n_pages", "n_host")
 
 
-def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False, copies: bool = True) -> DataFrame:
     """pages with the boilerplate lines cut from the text; counts adds n_lines and n_removed."""
-    found = cut(boilerplate(pages, host, text, ratio, min_pages))
+    found = cut(boilerplate(pages, host, text, ratio, min_pages, copies))
     lists = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__lines"))
     if found.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
