@@ -58,6 +58,19 @@ def test_candidates_stay_in_their_text():
     assert [(a, b) for a, b in zip(starts, ends, strict=True)] == [(9, 19), (19, len(raw))]
 
 
+def test_secrets_in_urls_are_candidates():
+    raw = b"at postgres://admin:hunter2x@db.example:5432/main, see redis://:p@sswords@h and https://a.example:8080/x?id=7&token=abcdef&password=letmein#top"
+    starts, ends, kinds = s.candidates(raw, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert [raw[a:b] for a, b in zip(starts, ends, strict=True)] == [b"hunter2x", b"p@sswords", b"abcdef", b"letmein"] and not kinds.any()
+
+
+def test_candidates_do_not_depend_on_the_text_before():
+    texts = [b"id:", b"password=hunter2", b"https://a.example", b":secret99", b"-----BEGIN ", b"PRIVATE KEY-----"]
+    raw, offs = b"".join(texts), np.cumsum([0, *map(len, texts)])
+    starts, ends, _ = s.candidates(raw, np.frombuffer(raw, np.uint8), offs)
+    assert [raw[a:b] for a, b in zip(starts, ends, strict=True)] == [b"hunter2"]
+
+
 def test_odd_rows(odd, none, model):
     assert s.find_secrets(none, model).count() == 0
     assert s.find_secrets(odd, model).filter("doc_id is null").count() == 0

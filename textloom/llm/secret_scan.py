@@ -46,6 +46,8 @@ _DIGIT[48:58] = True
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 _ASSIGNED = re.compile(rb"(?<=[A-Za-z0-9_\"' ])(?::=|=>|[:=])[ \t]{0,3}[\"']?([^\s\"'<>,;()\[\]{}]{6,})")
+#: Inside a URL: a parameter, or a password before @, but no port.
+_IN_URL = re.compile(rb"(?<=[A-Za-z0-9_/])(?:=([^\s\"'<>,;()\[\]{}&#]{6,})|:(?!\d{1,5}(?:[/?#]|$))([^\s\"'<>,;()\[\]{}/?#]{6,}(?=@)|[^\s\"'<>,;()\[\]{}&#@/]{6,}))")
 _HEADER = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
 
 #: Symbols of the network: 0 outside the text, then classes of characters, case and digits kept apart.
@@ -72,16 +74,16 @@ def candidates(raw: bytes, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     letters, digits, capitals = (np.concatenate([[0], np.cumsum(x[data])]) for x in (_ALPHA, _DIGIT, _CAPITAL))
     keep = (letters[ends] > letters[starts]) & ((digits[ends] > digits[starts]) | ((capitals[ends] - capitals[starts] > 3) & (ends - starts >= MIN_LETTERS)))
     spans = [(a, b, 1) for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]
-    for kind, pattern in ((0, _ASSIGNED), (2, _HEADER)):
-        for m in pattern.finditer(raw):
-            a, b = m.span(1) if kind == 0 else m.span()
-            head = m.start()
-            if kind == 0 and raw[a : a + 2] == b"//":
-                continue  # the rest of a URL
-            text = int(np.searchsorted(offs, head, side="right")) - 1
-            b = min(b, int(offs[text + 1]))
-            if a < b and b - a >= MIN_VALUE:
-                spans.append((a, b, kind))
+    for low, high in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        part = raw[low:high]
+        found = [(*m.span(), 2) for m in _HEADER.finditer(part)]
+        for m in _ASSIGNED.finditer(part):
+            a, b = m.span(1)
+            if part[a : a + 2] == b"//":  # the rest of a URL
+                found += [(*x.span(x.lastindex), 0) for x in _IN_URL.finditer(part[:b], a + 2)]
+            else:
+                found.append((a, b, 0))
+        spans += [(low + a, low + b, kind) for a, b, kind in found if b - a >= MIN_VALUE]
     spans.sort(key=lambda s: (s[0], -s[1], s[2]))
     out: list[tuple[int, int, int]] = []
     for a, b, kind in spans:
