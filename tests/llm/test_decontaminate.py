@@ -51,6 +51,16 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == set(texts) - {i for i, _ in expected} and kept.columns == docs.columns
 
 
+def test_texts_shorter_than_an_item():
+    """Cut at either end or changed, they are compared as a whole."""
+    rng = random.Random(8)
+    items = [words(rng, n) for n in (20, 20, 40, 59)]
+    cuts = [(0, 18), (1, 20), (0, 30), (20, 59), (0, 9), (0, 59)]
+    texts = [" ".join(items[j].split()[a:b]) for j, (a, b) in zip((0, 1, 2, 3, 0, 3), cuts, strict=True)] + ["two words", "", words(rng, 18)]
+    found = {(m[0], m[1]): m[2:5] for m in d.Index(list(range(4)), items).matches(*flat(pa.array(texts)))}
+    assert found == {(0, 0): (0, 18, 16 / 18), (1, 1): (0, 19, 17 / 18), (2, 2): (0, 30, 28 / 38), (3, 3): (0, 39, 37 / 57), (5, 3): (0, 59, 1.0)}
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = random.Random(4)
     index = d.Index(list(range(50)), [words(rng, 20) for _ in range(50)])

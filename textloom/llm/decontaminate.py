@@ -3,10 +3,10 @@
 For every item of n words, every run of n words of every document is a window. Windows and items are
 multisets of 3-word shingles weighted by their count. A window is reported for an item when their
 fingerprints of BITS bits differ in at most RADIUS bits and their weighted Jaccard similarity
-(sum of minima over sum of maxima) is at least THRESHOLD.
+(sum of minima over sum of maxima) is at least THRESHOLD. A document with fewer shingles than the item is one window as a whole.
 
 Nothing is lost on the way: a window of that similarity shares at least 2nt/(1+t) of its n shingles with
-the benchmark, so windows with fewer shingles from the benchmark's set are not fingerprinted. The fingerprint is
+the benchmark, so windows with fewer shingles from the benchmark's set are not fingerprinted (a whole document of m shingles: t(m+n)/(1+t)). The fingerprint is
 cut into BLOCKS blocks; two fingerprints within RADIUS agree to within RADIUS // BLOCKS bits in some block
 (pigeonhole), so probing each block's index with all values that near finds every item within the radius.
 
@@ -84,8 +84,9 @@ class Index:
         near[np.arange(256)[:, None], np.arange(256)[:, None] ^ near_bytes(RADIUS // BLOCKS)[None, :]] = True
         self.lists = np.stack([np.packbits(near[:, self.prints[:, b]], axis=1) for b in range(BITS // 8)])
 
-    def needed(self, n: int) -> int:
-        return int(np.ceil(2 * n * THRESHOLD / (1 + THRESHOLD) - 1e-9))
+    def needed(self, n: int | np.ndarray, item: int | np.ndarray | None = None) -> np.ndarray:
+        """Shingles that a window of n shares with an item of as many, or of the size given."""
+        return np.ceil((n + (n if item is None else item)) * THRESHOLD / (1 + THRESHOLD) - 1e-9)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (fingerprint, item, distance) within RADIUS, each found once."""
@@ -108,31 +109,40 @@ class Index:
         where = np.searchsorted(self.vocabulary, sh[maybe])
         hit[maybe] = self.vocabulary[np.minimum(where, len(self.vocabulary) - 1)] == sh[maybe]
         row = np.searchsorted(bounds, at, side="right") - 1
-        keep = np.bincount(row[hit], minlength=len(offs) - 1) >= self.needed(int(self.sizes.min()))
+        kinds = np.unique(self.sizes)
+        n_own, n_hit = (np.bincount(x, minlength=len(offs) - 1) for x in (row, row[hit]))
+        # texts that are shorter than an item, against the shortest of those items
+        short = (n_own > 0) & (n_own < kinds[-1])
+        short &= n_hit >= self.needed(n_own, kinds[np.minimum(np.searchsorted(kinds, n_own, side="right"), len(kinds) - 1)])
+        keep = short | (n_hit >= self.needed(int(kinds[0])))
         if not keep.any():
             return []
         use = keep[row]
         sh, at, row, hit = sh[use], at[use], row[use], hit[use]
         hits = np.concatenate([[0], np.cumsum(hit)])
         best: dict[tuple[int, int], tuple] = {}
-        found = []  # windows: first shingle, number of shingles, fingerprint
-        for n in np.unique(self.sizes):
+        found = []  # windows: first shingle, number of shingles, whole text, fingerprint
+        first = np.searchsorted(row, np.flatnonzero(short))
+        for n in np.unique(n_own[short]):
+            begin = first[n_own[short] == n]
+            found.append((begin, np.full(len(begin), n), np.ones(len(begin), bool), fingerprints(sh, begin, int(n))))
+        for n in kinds:
             if len(sh) >= n:
                 begin = np.flatnonzero((hits[n:] - hits[:-n] >= self.needed(n)) & (row[n - 1 :] == row[: len(row) - n + 1]))
                 if len(begin):
-                    found.append((begin, np.full(len(begin), n), fingerprints(sh, begin, int(n))))
-        begins, sizes, prints = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                    found.append((begin, np.full(len(begin), n), np.zeros(len(begin), bool), fingerprints(sh, begin, int(n))))
+        begins, sizes, whole, prints = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
         step = max(1, 1_000_000 // len(self.ids))
         for i in range(0, len(begins), step):
             who, item, far = self.candidates(prints[i : i + step])
-            right = self.sizes[item] == sizes[who + i]
+            right = np.where(whole[who + i], self.sizes[item] > sizes[who + i], self.sizes[item] == sizes[who + i])
             for w, m, d in zip(who[right] + i, item[right], far[right], strict=True):
                 j, n = int(begins[w]), int(sizes[w])
                 own, count = self.items[m]
                 seen, times = np.unique(sh[j : j + n], return_counts=True)
                 at_own = np.minimum(np.searchsorted(own, seen), len(own) - 1)
                 both = int(np.minimum(times, np.where(own[at_own] == seen, count[at_own], 0)).sum())
-                sim = both / (2 * n - both)
+                sim = both / (n + int(self.sizes[m]) - both)
                 if sim >= THRESHOLD:
                     new = (int(row[j]), int(m), int(at[j] - bounds[row[j]]), n + SHINGLE - 1, sim, int(d))
                     old = best.get(new[:2])
