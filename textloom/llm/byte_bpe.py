@@ -37,25 +37,29 @@ CHUNKS = 1_000_000
 
 @lru_cache(2)
 def _cache(path: str) -> SpanCache:
-    encode = encoding(path).encode_ordinary
+    encode = encoding(path)._core_bpe.encode_ordinary if hasattr(encoding(path), "_core_bpe") else encoding(path).encode_ordinary
 
     def ids(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = list(map(encode, map(bytes.decode, spans)))
         n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum())), n
+        return np.fromiter(chain.from_iterable(found), np.int32, int(n.sum())), n
 
-    return SpanCache(ids, np.uint16, CHUNKS)
+    return SpanCache(ids, np.int32, CHUNKS)
 
 
 def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans that tile every text and that the pattern never joins."""
     first, last = runs(~_SPACE[data], offs)
     blank, end = runs(_SPACE[data], offs)
-    final = np.isin(end, offs[1:])  # white space that ends a text is one piece
+    last_byte = np.zeros(len(data) + 1, bool)
+    last_byte[offs[1:]] = True
+    final = last_byte[end]  # white space that ends a text is one piece
     leads = ~final & (data[end - 1] == 32)  # its last space belongs to the word after it
     cut = end - np.where(final, 0, 1)
     first = first.copy()
-    first[np.searchsorted(first, end[leads])] -= 1
+    at = np.zeros(len(data) + 1, bool)
+    at[end[leads]] = True
+    first -= at[first]
     starts = np.concatenate([first, blank[blank < cut], cut[~final & ~leads]])
     ends = np.concatenate([last, cut[blank < cut], end[~final & ~leads]])
     raw = data.tobytes()

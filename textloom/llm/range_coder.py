@@ -1,89 +1,182 @@
 """A context-mixing range coder for token ids, many blocks in lockstep.
 
 Every block starts from the same empty model, so blocks decode independently; numpy codes one token of every
-block at a time. Three experts predict the next id: order 2 and order 1 by the id that last followed the same two ids or one id (hashed
-contexts with a confidence), order 0 by adaptive byte counts of the ids not predicted. The experts' probabilities are
-mixed with weights that follow their likelihoods (Bayes with a fixed share). A mixed interval codes
-"order 2's id", "order 1's id" or another id's high byte, whose low byte follows in the context of the high one.
-The model uses integers and basic double arithmetic only, so both directions compute the same bits.
+block at a time. Ids are numbered in the order in which a block first uses them. Three experts give the next number a distribution:
+
+- order 0: adaptive counts of all numbers, with an escape for ids that are new (these follow as a part coded by adaptive counts and plain low bits);
+- order 1 and order 2: for each context of one or two numbers, the two numbers that follow it most, with counts that grow when they are right and decay when they are not.
+
+The distributions are mixed: order 2 with a trust, else order 1 with a trust, else order 0. Trusts are kept for every pair of counts and follow
+the probability with which an expert explains what came (a step of expectation maximisation). A number's interval is its whole probability in the mixture.
+The model uses integers and basic floating-point arithmetic only, so both directions compute the same bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-TOKENS, TOTAL, SLOTS, CLASSES = 4096, 1 << 24, 1 << 11, 8
-#: What the predicted ids leave of TOTAL for the others.
-REST = TOTAL >> 5
+TOKENS, TOTAL, SLOTS, AHEAD = 4096, 1 << 24, 1 << 12, 64
+_I, _F = np.int32, np.float32
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
-SHARE, RATE, MOST = 0.02, 1 / 24, 0.96
+#: Steps of trust and escape, their bounds, and what a use adds to a count.
+RATE, TRUST, ESCAPE_RATE, ESCAPE, USE = _F(1 / 24), _F(0.93), _F(1 / 32), (_F(0.002), _F(0.7)), 4
+#: Ids that can be coded.
+MOST_ID = (1 << 24) - 1
+
+#: Shares of the two numbers of a context by their counts (8 * first + second), and the trust in the context before anything is known.
+_A, _B = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8), indexing="ij"))
+_FIRST, _SECOND = (np.where(_A > 0, x / np.maximum(_A + _B, 1.0), 0.0).astype(np.float32) for x in (_A, _B))
+_TRUST = np.where(_A > 0, np.minimum(0.12 + 0.13 * _A, 0.85), 0.0).astype(np.float32)
+
+
+def _changes() -> tuple[np.ndarray, np.ndarray]:
+    """For counts (8 * first + second) and what came (1 the first, 2 the second, 0 neither): the new counts in their bits, and what becomes of
+    the numbers: 0 both stay, 1 they swap, 2 the new one is second, 3 it is first."""
+    counts, what = np.zeros(256, np.int32), np.zeros(256, np.int8)
+    for k in range(64):
+        for came in range(4):
+            first, second = divmod(k, 8)
+            if came & 1 and first:
+                now, how = (min(first + 1, 7), second), 0
+            elif came & 2 and second:
+                more = min(second + 1, 7)
+                now, how = ((more, first), 1) if more > first else ((first, more), 0)
+            else:
+                now, how = ((max(first - 1, 1), 1), 2) if first else ((1, 0), 3)
+            counts[4 * k + came], what[4 * k + came] = (now[0] << 12) + (now[1] << 27), how
+    return counts, what
+
+
+_COUNTS, _WHAT = _changes()
+_NUMBERS = _I(4095 + (4095 << 15))
 
 
 class _Model:
-    """Tables are flat; a lane's part begins at its number times the part's length."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.two, self.one = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)  # 4 * id + confidence
-        self.sure2, self.sure1 = (np.tile(np.array([0.05, 0.4, 0.6, 0.8]), lanes) for _ in range(2))  # how often a confidence is right
-        self.weight0, self.weight1, self.weight2 = (np.full(lanes, 1 / 3) for _ in range(3))
-        self.high, self.low = np.ones((lanes, 256), np.int32), np.ones((lanes * CLASSES, 256), np.int32)
-        self.high_sum, self.low_sum = np.zeros((lanes, 257), np.int32), np.zeros((lanes * CLASSES, 257), np.int32)
+    """Tables are flat; a lane's part begins at its number times the part's length. Pairs of rows are order 2 and order 1."""
+
+    def __init__(self, lanes: int, longest: int):
+        self.width = longest + AHEAD + 1
+        lane = np.arange(lanes)
+        self.slot, self.state = np.stack([lane, lane + lanes]) * SLOTS, np.stack([lane, lane + lanes]) * 64
+        self.row, self.sum_row = lane * self.width, lane * (self.width + 1)
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # number, count, number, count in 12, 3, 12 and 3 bits
+        self.trust = np.tile(_TRUST, 2 * lanes)
+        self.escape = np.full(lanes, ESCAPE[1], _F)
+        self.counts = np.zeros((lanes, self.width), np.uint16)
+        self.counts[:, :AHEAD] = 1  # numbers that may come before the sums are made again
+        self.sums, self.total = np.zeros((lanes, self.width + 1), np.uint16), np.zeros(lanes)
+        self.flat_counts, self.flat_sums = self.counts.ravel(), self.sums.ravel()
+        self.known = np.zeros(lanes, np.int64)
+        self.high, self.high_sum = np.ones((lanes, 256), np.uint16), np.zeros((lanes, 257), np.uint16)
+        self.flat_high_sum = self.high_sum.ravel()
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.slot, self.sure = self.lane * SLOTS, self.lane * 4
         self.step = 0
 
     def predict(self, n: int) -> None:
-        """For the first n lanes: the two predicted ids and the two ends of their intervals in TOTAL."""
-        if self.step % 32 == 0 or self.step in (1, 2, 4, 8, 16):
-            np.cumsum(self.high, axis=1, out=self.high_sum[:, 1:])
-            if self.step % 128 == 0 or self.step < 128:
-                np.cumsum(self.low, axis=1, out=self.low_sum[:, 1:])
-        last = self.last[:n] * 40503
-        self.at2 = (((last + self.before[:n] * 30011) >> 3) & (SLOTS - 1)) + self.slot[:n]
-        self.at1 = ((last >> 3) & (SLOTS - 1)) + self.slot[:n]
-        e2, e1 = self.two.take(self.at2), self.one.take(self.at1)
-        self.id2, self.id1, self.c2, self.c1 = e2 >> 2, e1 >> 2, e2 & 3, e1 & 3
-        self.s2, self.s1 = self.sure[:n] + self.c2, self.sure[:n] + self.c1
-        self.p2, self.p1 = self.sure2.take(self.s2), self.sure1.take(self.s1)
-        f2, f1 = self.weight2[:n] * self.p2, self.weight1[:n] * self.p1
-        same = self.id2 == self.id1
-        f2 = np.minimum(f2 + f1 * same, MOST)
-        f1 = np.minimum(f1 * ~same, MOST - f2)
-        self.end2 = (f2 * (TOTAL - REST)).astype(np.int64) + 1
-        self.end1 = (f1 * (TOTAL - REST)).astype(np.int64) + self.end2 + 1
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, other: np.ndarray) -> None:
-        """hit1 and hit2 may both hold; other: neither."""
-        n = len(ids)
-        # likelihoods of the experts; "other" leaves all with what they keep for the rest
-        rest = np.where(other, 1.0, 1 / 512)
-        w2 = self.weight2[:n] * np.where(hit2, self.p2, (1 - self.p2) * rest)
-        w1 = self.weight1[:n] * np.where(hit1, self.p1, (1 - self.p1) * rest)
-        w0 = self.weight0[:n] * rest
-        scale = (1 - SHARE) / (w0 + w1 + w2)
-        self.weight0[:n], self.weight1[:n], self.weight2[:n] = w0 * scale + SHARE / 3, w1 * scale + SHARE / 3, w2 * scale + SHARE / 3
-        self.sure2[self.s2] = np.minimum(np.maximum(self.p2 + (hit2 - self.p2) * RATE, 0.005), 0.98)
-        self.sure1[self.s1] = np.minimum(np.maximum(self.p1 + (hit1 - self.p1) * RATE, 0.005), 0.98)
-        new = ids.astype(np.int32) << 2
-        self.two[self.at2] = np.where(hit2, new + np.minimum(self.c2 + 1, 3), np.where(self.c2 > 1, (self.id2 << 2) + (self.c2 >> 1), new))
-        self.one[self.at1] = np.where(hit1, new + np.minimum(self.c1 + 1, 3), np.where(self.c1 > 1, (self.id1 << 2) + (self.c1 >> 1), new))
+        """For the first n lanes: the numbers predicted, their parts of TOTAL, the escape's part, and order 0's width for a count of 1."""
+        if self.step % AHEAD == 0 or (self.step < AHEAD and self.step & (self.step - 1) == 0):
+            reach = int(self.known.max()) + AHEAD
+            np.cumsum(self.counts[:, :reach], axis=1, dtype=np.uint16, out=self.sums[:, 1 : reach + 1])
+            self.total = self.sums[:, reach].astype(np.float64)
+            self.share = (1 / self.total).astype(_F)
+            np.cumsum(self.high, axis=1, dtype=np.uint16, out=self.high_sum[:, 1:])
+        self.at = self.slot[:, :n].copy()
+        last = self.last[:n]
+        self.at[0] += ((last * 40503 + self.before[:n] * 30011) >> 2) & (SLOTS - 1)
+        self.at[1] += last & (SLOTS - 1)
+        self.e = e = self.table.take(self.at)
+        self.a, self.b = e & 4095, (e >> 15) & 4095
+        self.k = k = ((e >> 9) & 56) + (e >> 27)
+        self.s = self.state[:, :n] + k
+        self.t = t = self.trust.take(self.s)
+        self.fa, self.fb = _FIRST.take(k), _SECOND.take(k)
+        m = t * _F(TOTAL)
+        m[1] -= m[0] * t[1]
+        self.ma, self.mb = (m * self.fa).astype(_I), (m * self.fb).astype(_I)
+        both = self.ma + self.mb
+        rest = TOTAL - both[0] - both[1]
+        self.end = (rest * self.escape[:n]).astype(_I)
+        self.unit = (rest - self.end) / self.total[:n]
+
+    def _before(self, x: np.ndarray) -> np.ndarray:
+        """What the predicted numbers below x take."""
+        own = self.ma * (self.a < x)
+        own += self.mb * (self.b < x)
+        return own[0] + own[1]
+
+    def begin(self, x: np.ndarray) -> np.ndarray:
+        """Where the interval of each lane's number x begins."""
+        return (self.flat_sums.take(self.sum_row[: len(x)] + x) * self.unit).astype(_I) + self.end + self._before(x)
+
+    def interval(self, x: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the numbers x; ids that are new have the escape's."""
+        at = self.sum_row[: len(x)] + x
+        c0, c1 = self.flat_sums.take(at), self.flat_sums.take(at + 1)
+        self.n0 = (c1 - c0).astype(_F)
+        low = (c0 * self.unit).astype(_I)
+        self.is_a, self.is_b = self.a == x, self.b == x
+        own = self.ma * self.is_a
+        own += self.mb * self.is_b
+        size = (c1 * self.unit).astype(_I)
+        size -= low
+        size += own[0]
+        size += own[1]
+        low += self.end
+        low += self._before(x)
+        return np.where(new, _I(0), low), np.where(new, self.end, size)
+
+    def update(self, x: np.ndarray, new: np.ndarray) -> None:
+        """After interval() of the same lanes. The number of a new id is in no table, and the count of what is not there is 0."""
+        n = len(x)
+        escape, t = self.escape[:n], self.t
+        hit = self.fa * self.is_a
+        hit += self.fb * self.is_b
+        hit *= t
+        whole = 1 - t
+        whole[1] *= np.where(new, escape * _F(2.0**-10), (1 - escape) * (self.n0 * self.share[:n]))
+        whole[1] += hit[1]
+        whole[0] *= whole[1]
+        whole[0] += hit[0]
+        hit /= whole
+        miss = 1 - hit
+        by = hit - t
+        by *= RATE
+        by[1] *= miss[0]
+        by += t
+        self.trust[self.s] = np.minimum(by, TRUST, out=by)
+        escape = escape + (new - escape) * (ESCAPE_RATE * miss[0] * miss[1])
+        self.escape[:n] = np.minimum(np.maximum(escape, ESCAPE[0]), ESCAPE[1])
+        came = self.k << 2
+        came += self.is_a
+        came += self.is_b * _I(2)
+        what = _WHAT.take(came)
+        self.table[self.at] = np.where(what == 0, self.e & _NUMBERS, np.where(what == 2, self.a + (x << 15), np.where(what == 1, self.b + (self.a << 15), x))) + _COUNTS.take(came)
+        self.flat_counts[self.row[:n] + x] += USE
+        lane = np.flatnonzero(new)
+        if len(lane):
+            self.flat_counts[self.row.take(lane) + x.take(lane) + AHEAD] = 1
+            self.known[lane] += 1
         self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        self.last[:n] = x
         self.step += 1
 
-    def learn_other(self, lane: np.ndarray, high: np.ndarray, byte: np.ndarray, row: np.ndarray) -> None:
-        self.high.ravel()[lane * 256 + high] += 8
-        self.low.ravel()[row * 256 + byte] += 8
-
 
 class _Encoder:
     def __init__(self, lanes: int, tokens: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.width = 3 * tokens + 8
+        self.width = tokens + 64
         self.out, self.n = np.zeros(lanes * self.width, np.uint16), np.zeros(lanes, np.int64)
 
+    def make_room(self, words: int) -> None:
+        """So that each lane can take this many more 16-bit words."""
+        if int(self.n.max()) + words > self.width:
+            old, lanes = self.width, len(self.n)
+            self.width = int(self.n.max()) + words + old // 4
+            out = np.zeros((lanes, self.width), np.uint16)
+            out[:, :old] = self.out.reshape(lanes, old)
+            self.out = out.ravel()
+
     def code(self, lane: np.ndarray | slice, begin: np.ndarray, size: np.ndarray, total: np.ndarray | None = None) -> None:
         """Without total, it is TOTAL."""
         r = self.range[lane] >> _U(24) if total is None else self.range[lane] // total.astype(np.uint64)
@@ -149,45 +242,63 @@ class _Decoder:
         self.low[lane], self.range[lane], self.code[lane] = low, r, code
 
 
+def numbered(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id's number in the order of first use, and whether it is used first."""
+    own = block.astype(np.uint16) if len(block) and block.max() < 1 << 16 else block
+    _, first, back = np.unique(own, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int32)
+    rank[np.argsort(first)] = np.arange(len(first))
+    new = np.zeros(len(block), bool)
+    new[first] = True
+    return rank[back], new
+
+
+def low_bits(block: np.ndarray) -> int:
+    """Bits of an id below the part that is coded by counts."""
+    top = int(block.max()) if len(block) else 0
+    if top > MOST_ID:
+        raise ValueError(f"id {top}; ids up to {MOST_ID} can be coded")
+    return max(8, top.bit_length() - 8)
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids below 65536 as bytes."""
+    """Each block of up to TOKENS ids as bytes; the first byte holds its low_bits()."""
     if not blocks:
         return []
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     longest = len(blocks[order[0]])
-    ids = np.zeros((longest, len(blocks)), np.int64)
+    if longest > TOKENS:
+        raise ValueError(f"a block of {longest} ids; {TOKENS} at most")
+    bits = np.array([low_bits(blocks[i]) for i in order], np.int64)
+    numbers, fresh, ids = np.zeros((len(blocks), longest), np.int16), np.zeros((len(blocks), longest), bool), np.zeros((len(blocks), longest), np.uint16 if bits.max() == 8 else np.int32)
     for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
+        n = len(blocks[i])
+        ids[lane, :n] = blocks[i]
+        numbers[lane, :n], fresh[lane, :n] = numbered(blocks[i])
+    numbers, fresh, ids = np.ascontiguousarray(numbers.T), np.ascontiguousarray(fresh.T), np.ascontiguousarray(ids.T)
     live = np.searchsorted([-len(blocks[i]) for i in order], -np.arange(longest), side="left")
-    model, coder = _Model(len(blocks)), _Encoder(len(blocks), longest)
+    model, coder = _Model(len(blocks), longest), _Encoder(len(blocks), longest)
     for t in range(longest):
         n = int(live[t])
-        now = ids[t, :n]
+        x, new = numbers[t, :n].astype(np.int32), fresh[t, :n]
+        if t % 32 == 0:
+            coder.make_room(32 * 8 + 8)
         model.predict(n)
-        hit2, hit1 = now == model.id2, now == model.id1
-        other = ~(hit2 | hit1)
-        begin = np.where(hit2, 0, model.end2)
-        size = np.where(hit2, model.end2, model.end1 - model.end2)
-        lane = np.flatnonzero(other)
+        coder.code(slice(0, n), *model.interval(x, new))
+        lane = np.flatnonzero(new)
         if len(lane):
-            x, first = now.take(lane), model.end1.take(lane)
-            high, byte = x >> 8, x & 255
-            at, rest, total = lane * 257 + high, TOTAL - first, model.high_sum.take(lane * 257 + 256)
-            low = rest * model.high_sum.take(at) // total
-            begin[lane] = first + low
-            size[lane] = rest * model.high_sum.take(at + 1) // total - low
-            coder.code(slice(0, n), begin, size)
-            row = lane * CLASSES + np.minimum(high, CLASSES - 1)
-            at = row * 257 + byte
-            low = model.low_sum.take(at)
-            coder.code(lane, low, model.low_sum.take(at + 1) - low, model.low_sum.take(row * 257 + 256))
-            model.learn_other(lane, high, byte, row)
-        else:
-            coder.code(slice(0, n), begin, size)
-        model.update(now, hit2, hit1, other)
+            own, shift = ids[t].take(lane).astype(np.int64), bits.take(lane)
+            high = own >> shift
+            low, at = own - (high << shift), lane * 257 + high
+            flat = model.flat_high_sum
+            first = flat.take(at).astype(np.int64)
+            size = flat.take(at + 1).astype(np.int64) - first
+            coder.code(lane, (first << shift) + low * size, size, flat.take(lane * 257 + 256).astype(np.int64) << shift)
+            model.high.ravel()[lane * 256 + high] += 8
+        model.update(x, new)
     out: list[bytes] = [b""] * len(blocks)
-    for i, data in zip(order, coder.finish(), strict=True):
-        out[i] = data
+    for i, shift, data in zip(order, bits.tolist(), coder.finish(), strict=True):
+        out[i] = bytes([shift]) + data
     return out
 
 
@@ -198,36 +309,36 @@ def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     order = np.argsort([-n for n in sizes], kind="stable")
     longest = sizes[order[0]]
     live = np.searchsorted([-sizes[i] for i in order], -np.arange(longest), side="left")
-    model, coder = _Model(len(sizes)), _Decoder([payloads[i] for i in order])
-    ids = np.zeros((longest, len(sizes)), np.uint16)
+    model, coder = _Model(len(sizes), longest), _Decoder([payloads[i][1:] for i in order])
+    bits = np.array([payloads[i][0] for i in order], np.int64)
+    ids, names = np.zeros((longest, len(sizes)), np.int32), np.zeros((len(sizes), longest + 1), np.int32)
     for t in range(longest):
         n = int(live[t])
         model.predict(n)
         everyone = np.arange(n)
         at = coder.target(everyone, TOTAL)
-        first, second = at < model.end2, (at >= model.end2) & (at < model.end1)
-        begin = np.where(first, 0, model.end2)
-        size = np.where(first, model.end2, model.end1 - model.end2)
-        now = np.where(first, model.id2, model.id1).astype(np.int64)
-        lane = np.flatnonzero(~(first | second))
+        new = at < model.end
+        low, high = np.zeros(n, np.int32), model.known[:n].astype(np.int32)
+        while (high - low > 1).any():
+            middle = (low + high) >> 1
+            right = model.begin(middle) <= at
+            low, high = np.where(right & (high - low > 1), middle, low), np.where(right | (high - low < 2), high, middle)
+        x = np.where(new, model.known[:n], low).astype(np.int32)
+        coder.take(everyone, *model.interval(x, new))
+        lane = np.flatnonzero(new)
         if len(lane):
-            sums, i = model.high_sum[lane].astype(np.int64), np.arange(len(lane))
-            ends = (TOTAL - model.end1[lane])[:, None] * sums // sums[:, 256:]
-            high = (ends <= (at - model.end1)[lane][:, None]).sum(axis=1) - 1
-            begin[lane], size[lane] = model.end1[lane] + ends[i, high], ends[i, high + 1] - ends[i, high]
-            coder.take(everyone, begin, size)
-            row = lane * CLASSES + np.minimum(high, CLASSES - 1)
-            sums = model.low_sum[row]
-            byte = (sums <= coder.target(lane, sums[:, 256])[:, None]).sum(axis=1) - 1
-            coder.take(lane, sums[i, byte], sums[i, byte + 1] - sums[i, byte])
-            now[lane] = (high << 8) | byte
-            model.learn_other(lane, high, byte, row)
-        else:
-            coder.take(everyone, begin, size)
-        ids[t, :n] = now
-        hit2, hit1 = now == model.id2, now == model.id1
-        model.update(now, hit2, hit1, ~(hit2 | hit1))
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(sizes)
+            shift, sums = bits[lane], model.high_sum[lane].astype(np.int64)
+            at = coder.target(lane, sums[:, 256] << shift)
+            part = (sums <= (at >> shift)[:, None]).sum(axis=1) - 1
+            first = sums[np.arange(len(lane)), part]
+            size = sums[np.arange(len(lane)), part + 1] - first
+            rest = (at - (first << shift)) // size
+            coder.take(lane, (first << shift) + rest * size, size)
+            names[lane, x[lane]] = (part << shift) + rest
+            model.high.ravel()[lane * 256 + part] += 8
+        ids[t, :n] = names[everyone, x]
+        model.update(x, new)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(sizes)
     for lane, i in enumerate(order):
         out[i] = ids[: sizes[i], lane].copy()
     return out

@@ -1,11 +1,12 @@
 """Token ids of documents in compressed binary blocks.
 
 Texts become byte-level BPE ids; each task strings the ids of its documents together and cuts them into blocks of up to
-`block` ids, every block coded by the context-mixing range coder from an empty model and checksummed (CRC-32 of the ids as little-endian
-16-bit numbers). Rows carry what a reader needs to take a block alone: the documents it holds, where in each
+`block` ids (4,096 at most), every block coded by the context-mixing range coder from an empty model and checksummed (CRC-32 of the ids as
+little-endian 32-bit numbers). Rows carry what a reader needs to take a block alone: the documents it holds, where in each
 it begins and how many ids. Nothing is shuffled.
 
-Defined results: a missing or empty text is listed with 0 ids in the block that is open when it comes. Repeated rows are written each.
+Defined results: a missing or empty text is listed with 0 ids in the block that is open when it comes. Repeated rows are written each, and rows without id as well.
+A long text runs over as many blocks as it needs. Columns other than the id and the text play no part, whatever their names. No rows make no blocks.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from textloom.llm.arrow_text import slices
 from textloom.llm.byte_bpe import TOKENIZER, token_ids
 
 #: Blocks coded in lockstep.
-LANES = 2048
+LANES = 3072
 SCHEMA = "doc_ids array<{}>, first_tokens array<long>, n_tokens array<long>, ids long, crc32 long, payload binary"
 
 
 def checksum(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u2").tobytes())
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def write_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, block: int = range_coder.TOKENS) -> DataFrame:
