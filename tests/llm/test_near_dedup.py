@@ -135,3 +135,53 @@ def test_pairs_near_the_threshold_are_decided_exactly(spark):
     banded = (sig[:, 0] == sig[:, 1]).all(axis=2).any(axis=1)
     assert sum(0.5 < s < 0.6 for s in truth) > 30
     assert linked == {i for i, s in enumerate(truth) if s >= d.THRESHOLD and banded[i]}
+
+
+def rows_frame(spark, rows):
+    """(doc_id, text, note), with columns of names that operators might use inside."""
+    names = ["gone", "gone_text", "_gone", "__gone", "__again", "__rank", "size", "root", "kept", "k", "group_id", "first", "count"]
+    return spark.createDataFrame([(i, t, n, *["clash"] * len(names)) for i, t, n in rows], "doc_id string, text string, note string, " + ", ".join(f"`{c}` string" for c in names))
+
+
+def test_rows_are_decided_one_by_one(spark):
+    """Repeated ids, differing texts under one id, missing texts and string ids: every group keeps one row, and nothing else goes."""
+    rng = random.Random(11)
+    a, b = words(rng, 60), words(rng, 60)
+    docs = rows_frame(spark, [("1", a, "x"), ("1", b, "y"), ("2", None, "z"), ("2", b + " and three more", "z"), ("3", a.upper(), "x"), ("3", words(rng, 40), "x"), (None, a, "x"), ("1", a, "again")])
+    kept = d.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or "", r.text or "") for r in kept.collect())
+    assert [(i, t) for i, t in got if i in ("1", "2", "")] == sorted([("1", a), ("1", b), ("2", ""), ("", a)])
+    assert [i for i, _ in got].count("3") == 1 and len(got) == 5
+    assert sorted((r.doc_id, r.group_id, r.kept) for r in d.near_duplicates(docs).collect()) == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "1", False)]
+
+
+def test_each_group_keeps_one_row(spark):
+    """Brute force over rows with repeated ids and texts."""
+    rng = random.Random(12)
+    bases = [words(rng, 80) for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        base = rng.choice(bases)
+        rows.append((str(rng.randrange(60)), rng.choice([base, base.title(), changed(rng, base, 2)]), "n"))
+    group = {t: next(g for g, base in enumerate(bases) if similarity(t.lower(), base) > 0.6) for _, t, _ in rows}
+    kept = d.drop_near_duplicates(rows_frame(spark, rows)).collect()
+    assert sorted(group[r.text] for r in kept) == sorted(set(group.values()))
+    assert all(r.doc_id == min(i for i, t, _ in rows if group[t] == group[r.text]) for r in kept)
+
+
+def test_blocks_of_large_buckets_find_the_same(spark):
+    rng = random.Random(13)
+    bases = [words(rng, 100) for _ in range(4)]
+    shared = words(rng, 40)
+    docs = docs_frame(spark, [(i, changed(rng, rng.choice(bases), rng.randrange(1, 4)) + " " + shared, "s") for i in range(400)])
+    found = {tuple(r) for r in d.near_duplicates(docs).collect()}
+    assert found == {tuple(r) for r in d.near_duplicates(docs, block=16).collect()} and len(found) > 300
+
+
+def test_a_bucket_of_many(spark):
+    """Ten thousand different texts that all share their bands."""
+    rng = random.Random(14)
+    base = words(rng, 60)
+    docs = docs_frame(spark, [(i, f"{base} end{i}", "s") for i in range(10_000)])
+    assert [r.doc_id for r in d.drop_near_duplicates(docs).collect()] == [0]

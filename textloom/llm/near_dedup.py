@@ -5,18 +5,21 @@ process of arrivals whose rate is its weight; each arrival falls on one of SIZE
 shingle that arrives first. A process stops once its next arrival is later than every slot's first.
 Two signatures agree in a slot with the probability Jaccard similarity of the documents.
 
-Documents with the same words in the same order collapse to the lowest id first, so that thousands of copies are one row. The
-others are banded; buckets with equal members are one bucket. Buckets are split where signatures agree in less than
-SKIP, far below THRESHOLD, and buckets equal after that are one again. Members of what is left are joined with their weighted shingles, and a
-breadth-first search links pairs whose exact probability Jaccard similarity is at least THRESHOLD; that links the same
-components as all pairs would, without making the pairs. Components over all buckets are the groups.
+1. Documents with the same words in the same order (by a 64-bit hash of them and their number) are one class, so that thousands of copies are one row.
+2. Classes are banded. Of buckets with equal members (by their number, lowest member and a hash of all) one stays. A bucket of more than BLOCK classes is dealt to blocks, and
+   every two blocks are a bucket: no task holds more than 2 * BLOCK classes, and every two classes still meet.
+3. Buckets are split where signatures agree in less than SKIP, far below THRESHOLD, and buckets equal after that are one again.
+4. Members of what is left are joined with their weighted shingles, and a breadth-first search links pairs whose exact probability Jaccard similarity is at least THRESHOLD;
+   that links the same components as all pairs would, without making the pairs.
+5. Components over all buckets are the groups. Copies are members by their class; they are no edges.
 
 A pair is missed only if no band agrees (by binomial odds some 10 % of pairs at THRESHOLD, 4 % at 0.6, 0.2 % at 0.7) or if its signatures agree in
 less than SKIP (at THRESHOLD less than 1 in 100,000); no pair below THRESHOLD is linked.
 
-Defined results: case and punctuation don't count. A text without words, or a missing one, has no duplicates, and so has a row without
-id; these stay. A text of fewer than 3 words is one shingle. The lowest doc_id of a group stays. Of repeated rows of one id that stays, the
-one with the least text stays. Other columns play no part and are kept.
+Defined results: rows are decided one by one, by id and text; ids may be of any type that sorts. Case and punctuation don't count. A text without words, or a missing one, has no duplicates, and so
+has a row without id; these stay. A text of fewer than 3 words is one shingle. Very long texts are compared whole. Of each group the row of the lowest id stays (of several with that id, the one of the lowest
+hash of its words, then the least text); so texts under one id that are no near copies all stay, and rows repeated in id and text are one. Other columns play no part, whatever their names, and
+are kept; of rows repeated in id and text, those of any one stay. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,17 +29,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.arrow_text import inverse, mix, owner, powers, slices, windows, words
 from textloom.llm.components import components
-from textloom.llm.session import cut
+from textloom.llm.session import cut, quoted, unused
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 24, 4, 0.55
 #: Agreement of signatures below which a pair is not compared.
 SKIP = 0.3
 SIZE = BANDS * ROWS
+#: Classes of a block of a large bucket.
+BLOCK = 4096
 _U = np.uint64
 _STEP, _R = 0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F | 1
 
@@ -116,12 +121,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array(digest.view(np.int64)),
                 pa.array(n_words.astype(np.int64)),
                 pa.array([x.tobytes() for x in (mix(sig) >> _U(56)).astype(np.uint8)], pa.binary()),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, len(band) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).ravel())),
             ],
-            ["id", "digest", "n", "sig", "bands"],
+            ["id", "t", "digest", "n", "sig", "bands"],
         ).filter(has)
 
 
@@ -198,22 +204,21 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, id, sig, shingles, counts) of the texts (id, text, digest, sig, buckets) with the digest asked for, once a bucket; no counts if all are 1."""
+    """(bucket, id, sig, shingles, counts) of the texts (id, text, sig, buckets), once a bucket; no counts if all are 1."""
     for batch, data, offs in slices(batches, "text"):
         hashes, _, _, bounds = words(data, offs)
         row, sh, n = weighted_shingles(hashes, bounds)
         order = np.lexsort((sh, row))
         row, sh, n = row[order], sh[order], n[order].astype(np.uint32)
         edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        right = digests(hashes, bounds).view(np.int64) == batch.column(2).to_numpy()
         many = np.concatenate([[0], np.cumsum(n > 1)])
-        for at in np.array_split(np.flatnonzero(right), max(1, right.sum() // 500)):
-            buckets = batch.column(4).take(pa.array(at))
+        for at in np.array_split(np.arange(batch.num_rows), max(1, batch.num_rows // 500)):
+            buckets = batch.column(3).take(pa.array(at))
             who = np.repeat(at, buckets.value_lengths().to_numpy())
             packed = {i: (sh[edge[i] : edge[i + 1]].tobytes(), n[edge[i] : edge[i + 1]].tobytes() if many[edge[i + 1]] > many[edge[i]] else b"") for i in at.tolist()}
             own = pa.array(who)
             yield pa.RecordBatch.from_arrays(
-                [buckets.flatten(), batch.column(0).take(own), batch.column(3).take(own), pa.array([packed[i][0] for i in who.tolist()], pa.binary()), pa.array([packed[i][1] for i in who.tolist()], pa.binary())],
+                [buckets.flatten(), batch.column(0).take(own), batch.column(2).take(own), pa.array([packed[i][0] for i in who.tolist()], pa.binary()), pa.array([packed[i][1] for i in who.tolist()], pa.binary())],
                 ["bucket", "id", "sig", "shingles", "counts"],
             )
 
@@ -233,36 +238,52 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
 
-def _groups(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = cut(texts.mapInArrow(_sign, "id long, digest long, n long, sig binary, bands array<long>"))
-    first = cut(signed.groupBy("digest", "n").agg(F.min_by(F.struct("sig", "bands"), "id").alias("s"), F.min("id").alias("id"), F.collect_set("id").alias("ids")))
-    same = first.select(F.explode("ids").alias("a"), F.col("id").alias("b")).filter("a <> b")
-    bands = first.select("id", F.explode("s.bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
-    members = buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id"))
-    rows = members.join(first.select("id", "s.sig"), "id").select("bucket", "id", "sig")
+def _groups(docs: DataFrame, doc_id: str, text: str, block: int) -> DataFrame:
+    """(id, t, root, kept) of every different row (id, t) whose text has words; t: a hash of the text. Groups are those of equal root, and one row of each is kept."""
+    own = F.col(quoted(text))
+    texts = docs.filter(F.col(quoted(doc_id)).isNotNull()).select(F.col(quoted(doc_id)).alias("id"), own.alias("text"), F.xxhash64(own).alias("t"))
+    kind = dict(texts.dtypes)["id"]
+    signed = cut(texts.mapInArrow(_sign, f"id {kind}, t long, digest long, n long, sig binary, bands array<long>"))
+    # k: a class; its first row stands for it
+    rep = F.min_by(F.struct("id", "t", "sig", "bands"), F.struct("id", "t")).alias("r")
+    classes = cut(signed.groupBy("digest", "n").agg(rep).select(F.xxhash64("digest", "n").alias("k"), "digest", "n", "r.*"))
+    bands = classes.select("k", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("k")).alias("all"), F.min("k").alias("low")).filter("size > 1")
+    buckets = shared.groupBy("size", "all", "low").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("size") / block).alias("blocks"))
+    members = bands.join(buckets, "band").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("own"))
+    small = members.filter("blocks = 1").select(F.col("band").alias("bucket"), "k")
+    large = members.filter("blocks > 1").withColumn("j", F.explode(others)).select(F.xxhash64("band", F.least("own", "j"), F.greatest("own", "j")).alias("bucket"), "k")
+    rows = small.union(large).join(classes.select("k", "sig"), "k").select("bucket", F.col("k").alias("id"), "sig")
     parts = rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_split, "bucket long, id long")
-    asked = parts.distinct().groupBy("id").agg(F.collect_list("bucket").alias("buckets")).join(first.select("id", "digest", "s.sig"), "id")
-    shingles = texts.join(cut(asked), "id").select("id", "text", "digest", "sig", "buckets").mapInArrow(_shingles, "bucket long, id long, sig binary, shingles binary, counts binary")
+    asked = parts.distinct().groupBy("id").agg(F.collect_list("bucket").alias("buckets")).withColumnRenamed("id", "k").join(classes.select("k", "id", "t", "sig"), "k")
+    found = texts.join(cut(asked), ["id", "t"]).select(F.col("k").alias("id"), "text", "sig", "buckets")
+    shingles = found.mapInArrow(_shingles, "bucket long, id long, sig binary, shingles binary, counts binary")
     near = shingles.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_search, "a long, b long")
-    return components(same.union(near))
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, group_id, kept) of every document that has a near duplicate; group_id is the lowest id of the group."""
-    dropped = _groups(docs, doc_id, text)
-    kept = dropped.select("root", "root").distinct().toDF("id", "root")
-    return dropped.union(kept).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group."""
-    gone = _groups(docs, doc_id, text).select(F.col("id").alias("__gone"))
-    kept = docs.join(gone, F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
-    again = cut(docs.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__again")).count().filter("count > 1").select("__again"))
+    roots = components(near).withColumnRenamed("id", "k")
+    own = cut(classes.select("k", "digest", "n", "id", "t").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")))
+    first = own.groupBy("root").agg(F.min(F.struct("id", "digest", "n", "t")).alias("first"))
+    rows = signed.select("id", "t", "digest", "n").distinct().join(own.select("digest", "n", "root"), ["digest", "n"]).join(first, "root")
+    return rows.select("id", "t", "root", (F.struct("id", "digest", "n", "t") == F.col("first")).alias("kept"), F.col("first.id").alias("group_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, group_id, kept) of every document that has a near duplicate; group_id is the lowest id of the group. An id with different texts is listed for each."""
+    rows = cut(_groups(docs, doc_id, text, block))
+    groups = rows.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("root")
+    return rows.join(groups, "root").select(F.col("id").alias("doc_id"), "group_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """docs with one row of each group."""
+    name, name_t = unused(docs.columns, "gone", "gone_text")
+    rows = cut(_groups(docs, doc_id, text, block))
+    one, own_id, own_t = docs, F.col(quoted(doc_id)), F.xxhash64(F.col(quoted(text)))
+    gone = rows.filter("not kept").select(F.col("id").alias(name), F.col("t").alias(name_t))
+    one = docs.join(gone, (own_id == F.col(name)) & (own_t == F.col(name_t)), "left_anti")
+    again = docs.filter(own_id.isNotNull()).groupBy(own_id.alias(name), own_t.alias(name_t)).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    again = cut(again.join(rows.filter("kept").select(F.col("id").alias(name), F.col("t").alias(name_t)), [name, name_t]).select(name, name_t))
     if again.isEmpty():
-        return kept
-    rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text)))
-    ones = kept.join(again, F.col(doc_id) == F.col("__again"), "left_semi").withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-    return kept.join(again, F.col(doc_id) == F.col("__again"), "left_anti").unionByName(ones)
+        return one
+    same = (own_id == F.col(name)) & (own_t == F.col(name_t))
+    return one.join(again, same, "left_anti").unionByName(one.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
