@@ -34,7 +34,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+    """Queries are the rows whose id 50 divides; all rows are searched."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, queries=rows.filter("vec_id % 50 = 0"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
