@@ -13,7 +13,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(table(spark, sf_dir, "documents"), secret_scan.default_model())
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"), secret_scan.fit())
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """Secrets in documents, by a character convolutional network over candidates and their context.
 
-1. Candidates: every run of at least MIN_RUN characters of the alphabets that keys use which holds a letter and a digit (or
-   four capitals and no digit, from MIN_LETTERS characters), every value of at least MIN_VALUE characters that is assigned to a name, and every private key header. A document may hold any number.
+1. Candidates: every run of at least MIN_RUN characters of the alphabets that keys use which holds a digit (or
+   four capitals and no digit, from MIN_LETTERS characters), every value of at least MIN_VALUE characters that is assigned to a name or stands in a URL as a parameter or password, and every private key
+   header. A document may hold any number, one may lie within another, and each text is searched by itself.
 2. Network: characters of the candidate and of CONTEXT bytes on either side are embedded, convolved, and reduced by a
    maximum over the candidate and one over the context; a hidden layer gives a logit. It is numpy throughout. Candidates
    longer than WINDOW are scored in overlapping windows that cover them whole, and the highest counts.
 3. Training: on labelled findings (text, start, end, kind, secret). Without a table of findings, findings() makes them from a seed: keys,
    tokens and passwords of many formats, and what looks like them (digests, ids, addresses, versions, dates, names of files), in sentences.
 4. Calibration on findings held out: logits are divided by a temperature that minimises log loss; the threshold of each kind
-   of candidate is the highest up to one half that keeps recall of at least RECALL.
+   of candidate is the highest up to one half that keeps recall of at least RECALL. A secret that is no candidate counts as missed.
 
 Documents are scored where they are read; nothing is shuffled.
 
-Defined results: missing and empty texts hold no secrets. Repeated rows are reported each, and so is a secret that occurs twice, by its
-character offset. Columns other than the id and the text play no part.
+Defined results: missing and empty texts hold no secrets. Repeated rows are reported each, rows without id as well, and so is a secret that occurs twice, by its
+character offset. Of reported spans that lie within another reported one the outer stays. Very long texts and candidates are scored whole. Columns other than the id and the text play no part, whatever
+their names. Findings without candidates of both labels raise ValueError.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.arrow_text import runs, slices
 
-MIN_RUN, MIN_LETTERS, MIN_VALUE, WINDOW, CONTEXT, RECALL = 16, 20, 6, 64, 24, 0.995
+MIN_RUN, MIN_LETTERS, MIN_VALUE, WINDOW, CONTEXT, RECALL = 16, 20, 3, 64, 24, 0.995
 #: What a candidate is: a value assigned to a name, a bare run, a private key header.
 KINDS = ("assigned", "bare", "header")
 FINDINGS, SEED = 12_000, 7
@@ -45,9 +46,9 @@ _ALPHA[[ord(c) for c in string.ascii_letters]] = True
 _DIGIT[48:58] = True
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
-_ASSIGNED = re.compile(rb"(?<=[A-Za-z0-9_\"' ])(?::=|=>|[:=])[ \t]{0,3}[\"']?([^\s\"'<>,;()\[\]{}]{6,})")
+_ASSIGNED = re.compile(rb"(?<=[A-Za-z0-9_\"' ])(?::=|=>|[:=])[ \t]{0,3}[\"']?([^\s\"'<>,;()\[\]{}]{3,})")
 #: Inside a URL: a parameter, or a password before @, but no port.
-_IN_URL = re.compile(rb"(?<=[A-Za-z0-9_/])(?:=([^\s\"'<>,;()\[\]{}&#]{6,})|:(?!\d{1,5}(?:[/?#]|$))([^\s\"'<>,;()\[\]{}/?#]{6,}(?=@)|[^\s\"'<>,;()\[\]{}&#@/]{6,}))")
+_IN_URL = re.compile(rb"(?<=[A-Za-z0-9_/])(?:=([^\s\"'<>,;()\[\]{}&#]{3,})|:(?!\d{1,5}(?:[/?#]|$))([^\s\"'<>,;()\[\]{}/?#]{3,}(?=@)|[^\s\"'<>,;()\[\]{}&#@/]{3,}))")
 _HEADER = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----")
 
 #: Symbols of the network: 0 outside the text, then classes of characters, case and digits kept apart.
@@ -65,14 +66,14 @@ SYMBOLS = 64 + 38
 
 
 def candidates(raw: bytes, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and kinds of all candidates of the texts, in order; none lies in another one."""
+    """Starts, ends and kinds of all candidates of the texts, in order; none is listed twice."""
     starts, ends = runs(_KEY[data], offs)
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     ends = ends - (last == ord("."))
     keep = ends - starts >= MIN_RUN
     starts, ends = starts[keep], ends[keep]
     letters, digits, capitals = (np.concatenate([[0], np.cumsum(x[data])]) for x in (_ALPHA, _DIGIT, _CAPITAL))
-    keep = (letters[ends] > letters[starts]) & ((digits[ends] > digits[starts]) | ((capitals[ends] - capitals[starts] > 3) & (ends - starts >= MIN_LETTERS)))
+    keep = (digits[ends] > digits[starts]) | ((letters[ends] > letters[starts]) & (capitals[ends] - capitals[starts] > 3) & (ends - starts >= MIN_LETTERS))
     spans = [(a, b, 1) for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]
     for low, high in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
         part = raw[low:high]
@@ -84,14 +85,11 @@ def candidates(raw: bytes, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
             else:
                 found.append((a, b, 0))
         spans += [(low + a, low + b, kind) for a, b, kind in found if b - a >= MIN_VALUE]
-    spans.sort(key=lambda s: (s[0], -s[1], s[2]))
-    out: list[tuple[int, int, int]] = []
+    kinds: dict[tuple[int, int], int] = {}
     for a, b, kind in spans:
-        if out and a < out[-1][1]:
-            if kind == 0 and out[-1][2] == 1 and b >= out[-1][1] and a == out[-1][0]:
-                out[-1] = (a, b, 0)
-            continue
-        out.append((a, b, kind))
+        if kinds.get((a, b), 1) == 1:  # a name tells more than none
+            kinds[a, b] = kind
+    out = [(a, b, kinds[a, b]) for a, b in sorted(kinds)]
     x = np.array(out, np.int64).reshape(-1, 3)
     return x[:, 0], x[:, 1], x[:, 2]
 
@@ -186,8 +184,9 @@ class Network:
         g["e"][0] = 0
         return g
 
-    def train(self, inside: np.ndarray, around: np.ndarray, kind: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 3e-3, seed: int = SEED) -> None:
-        """Adam; order and start follow from the seed."""
+    def train(self, inside: np.ndarray, around: np.ndarray, kind: np.ndarray, y: np.ndarray, steps: int = 450, batch: int = 128, rate: float = 3e-3, seed: int = SEED) -> None:
+        """Adam over whole epochs, six at least and as many as make the steps; order and start follow from the seed."""
+        epochs = max(6, -(-steps * batch // len(y)))
         rng, m, v, t = np.random.default_rng(seed), {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         for epoch in range(epochs):
             order = rng.permutation(len(y))
@@ -197,7 +196,7 @@ class Network:
                 for k, g in self.gradients(inside[at], around[at], kind[at], y[at]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= np.float32(rate * 0.6**epoch) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+                    self.p[k] -= np.float32(rate * 0.6 ** (6 * epoch / epochs)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
 
 
 @dataclass
@@ -238,6 +237,10 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, i
                 lambda: (f"{name}{pick([' = ', '=', ': '])}{q}", some(hexes, int(rng.choice([32, 40, 48, 64]))), q),
                 lambda: (f"{pw}{pick(['=', ' = ', ': '])}{q}", phrase(), q),
                 lambda: (f"{pw}=", some(hexes, int(rng.integers(8, 33))), ""),
+                lambda: (f"{pick(['pin', 'PIN', 'passcode', 'otp'])}{pick(['=', ' = ', ': '])}{q}", some(digits, int(rng.integers(4, 9))), q),
+                lambda: (f"{pw}{pick(['=', ' = ', ': '])}{q}", some(lower, int(rng.integers(3, 6))) + some(digits, int(rng.integers(2, 5))), q),
+                lambda: (f"{pick(['postgres', 'mysql', 'redis', 'https', 'amqp', 'ftp'])}://{word()}:", pick([phrase, lambda: some(string.ascii_letters + digits, int(rng.integers(5, 16)))])(), f"@{word()}.example:{some(digits, 4)}/{word()}"),
+                lambda: (f"https://{word()}.example/{word()}?id={some(digits, 2)}&{pick([name, pw])}=", pick([value, lambda: some(string.ascii_letters + digits, int(rng.integers(6, 20)))])(), pick(["", "&page=2", "#top"])),
                 lambda: (pick(["", "aws_access_key_id = ", "key "]), pick(["AKIA", "ASIA"]) + some(upper + "234567" + digits, 16), ""),
                 lambda: ("", "AKIA" + some(upnum, 16), ""),
                 lambda: ("", pick(["ghp_", "gho_", "ghs_", "glpat-", "npm_", "hf_"]) + some(string.ascii_letters + digits, int(rng.integers(20, 41))), ""),
@@ -264,6 +267,10 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, i
                 lambda: (pick(["isbn: ", "order: ", "invoice = ", "ref=", "phone: ", "card: ", "iban: "]), pick([lambda: some(digits, 16), lambda: some(upper, 2) + some(digits, 20), lambda: f"+{some(digits, 2)}-{some(digits, 3)}-{some(digits, 7)}", lambda: f"{some(upper, 3)}-{some(digits, 10)}"])(), ""),
                 lambda: (f"{pick(['password', 'token', 'secret', 'api_key', 'pwd'])}{pick(['=', ': ', ' = '])}", pick(["required", "changeme", "<your-token>", "********", "string", "undefined", "os.environ", "getpass()", "xxxxxxxxxxxx", "${TOKEN}", "$PASSWORD", "config.get", "null-value", "example", "your_password_here", "process.env.TOKEN"]), ""),
                 lambda: (f"{pick(['the password', 'a token', 'secrets', 'note', 'title', 'name', 'color', 'total', 'width'])}: ", pick([word() + word(), word() + word() + ".", some(digits, 6), "#" + some(hexes, 6)]), ""),
+                lambda: (f"{pick(['pages', 'count', 'age', 'year', 'total', 'n', 'width', 'size', 'lines', 'score', 'tel', 'at', 'nr'])}{pick([': ', '=', ' = ', ':'])}", pick([lambda: some(digits, int(rng.integers(3, 8))), lambda: f"{some(digits, 2)}.{some(digits, 2)}", lambda: some(digits, 2) + pick(["px", "kg", "km", "th", "mm"]), lambda: f"1{pick(digits)}:{some(digits, 2)}"])(), pick(["", ".", ","])),
+                lambda: (f"{word()}{pick([': ', ':', ' : '])}", pick([word, lambda: word()[:4], lambda: word() + pick([".", "!", "?"])])(), ""),
+                lambda: (f"{word()} {word()}: ", pick([lambda: word()[: int(rng.integers(3, 7))], word, lambda: some(lower, int(rng.integers(3, 8)))])(), pick(["", " " + some(digits, 5), ","])),
+                lambda: ("", some(digits, int(rng.integers(16, 30))), ""),
                 lambda: (pick(["", "class ", "def ", "x = "]), f"{word()}_{word()}_{word()}_{some(digits, 2)}", ""),
                 lambda: ("", f"{word()}-{word()}-{word()}-{some(digits, 4)}-{word()}", ""),
                 lambda: ("", "".join(word() for _ in range(int(rng.integers(2, 7)))).upper().encode("ascii", "ignore").decode(), pick(["!!", "", ".", "###"])),
@@ -288,7 +295,8 @@ def findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, i
 
 def _examples(labelled: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, ...]:
     """Symbols, kind, label and finding of every candidate of the findings' texts; one that overlaps the finding has its label, others are harmless."""
-    parts = []
+    none = np.zeros(0, np.int64)
+    parts = [(*encode(np.zeros(0, np.uint8), none, none, none), none, none, none)]
     for i, (text, start, end, label) in enumerate(labelled):
         raw = text.encode()
         data, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
@@ -305,29 +313,39 @@ def _examples(labelled: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, ..
 
 def fit(labelled: list[tuple[str, int, int, int]] | None = None, recall: float = RECALL, seed: int = SEED) -> Model:
     """A model from labelled findings (text, start, end, secret); those of findings() where none are given. A fifth is held out."""
-    inside, around, kind, y, finding = _examples(findings(seed=seed) if labelled is None else labelled)
-    held = finding % 5 == 0 if labelled is None else np.random.default_rng(seed).random(finding.max() + 1)[finding] < 0.2
-    if labelled is None:  # findings alternate between secret and harmless
-        held = (finding // 2) % 5 == 0
+    known = findings(seed=seed) if labelled is None else labelled
+    inside, around, kind, y, finding = _examples(known)
+    if not 0 < y.sum() < len(y):
+        raise ValueError("labelled findings must hold candidates that are secrets and others")
+    # findings() alternates between secret and harmless
+    out = np.arange(len(known)) // 2 % 5 == 0 if labelled is None else np.random.default_rng(seed).random(len(known)) < 0.2
+    held = out[finding]
     network = Network(seed)
     network.train(inside[~held], around[~held], kind[~held], y[~held].astype(np.float32), seed=seed)
     logit = network.logits(inside[held], around[held], kind[held]).astype(np.float64)
     true, own = y[held], kind[held]
-    temperatures = np.exp(np.linspace(-1.5, 2.5, 81))
-    loss = [np.mean(np.logaddexp(0, np.where(true > 0, -1, 1) * logit / t)) for t in temperatures]
-    temperature = float(temperatures[int(np.argmin(loss))])
-    p = 1 / (1 + np.exp(-logit / temperature))
-    threshold = np.full(len(KINDS), 0.5)
-    for k in range(len(KINDS)):
-        good = np.sort(p[(own == k) & (true > 0)])
-        if len(good):
-            threshold[k] = min(0.5, good[int(len(good) * (1 - recall))])
+    threshold, temperature = np.full(len(KINDS), 0.5), 1.0
+    if len(true):
+        temperatures = np.exp(np.linspace(-1.5, 2.5, 81))
+        loss = [np.mean(np.logaddexp(0, np.where(true > 0, -1, 1) * logit / t)) for t in temperatures]
+        temperature = float(temperatures[int(np.argmin(loss))])
+        p = 1 / (1 + np.exp(-np.clip(logit / temperature, -500, 500)))
+        secrets = np.flatnonzero(out & np.array([x[3] > 0 for x in known]))
+        missed = len(np.setdiff1d(secrets, finding[held][true > 0]))
+        for k in range(len(KINDS)):
+            good = np.sort(p[(own == k) & (true > 0)])
+            if len(good):
+                threshold[k] = min(0.5, good[max(0, int(len(good) * (1 - recall)) - missed)])
     return Model(network, temperature, threshold)
 
 
-@lru_cache(1)
-def default_model() -> Model:
-    return fit()
+def outermost(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of different spans lie in no other one."""
+    order = np.lexsort((-ends, starts))
+    reach = np.maximum.accumulate(np.concatenate([[-1], ends[order]]))[:-1]
+    keep = np.zeros(len(starts), bool)
+    keep[order] = ends[order] > reach
+    return keep
 
 
 def find_secrets(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -341,7 +359,8 @@ def find_secrets(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: st
             if not len(starts):
                 continue
             p = own.scores(data, offs, starts, ends, kind)
-            keep = p >= own.threshold[kind]
+            keep = np.flatnonzero(p >= own.threshold[kind])
+            keep = keep[outermost(starts[keep], ends[keep])]
             starts, ends, kind, p = starts[keep], ends[keep], kind[keep], p[keep]
             row = np.searchsorted(offs, starts, side="right") - 1
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
