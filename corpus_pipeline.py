@@ -11,30 +11,37 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
+from textloom.llm import decontaminate, line_dedup, near_dedup, packing, token_counts, toxicity
 from textloom.llm.session import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the toxic ones, by a model of these documents and the labels. Missing and empty texts stay, rows without id are judged like others, repeated rows alike."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of a document count as one page, as near_dedup comes later; the length of the text follows it."""
+    """docs with the boilerplate lines of their source cut; the length of the text follows it, and a missing text has none.
+
+    Copies of a document count as one page, as near_dedup comes later. All rows stay; a text may become empty.
+    """
     cut = line_dedup.dedup_lines(docs, copies=False)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near duplicates, that of the lowest id. Texts without words, and rows without id, have no duplicates and stay."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a benchmark item. Missing and empty texts hold none; an empty benchmark drops nothing."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """The pieces of docs and their sequences, by token counts; a document without tokens is one piece of 0."""
+    return packing.pack(token_counts.count_tokens(docs), tokens="n_tokens")
 
 
 STAGES = [
@@ -44,7 +51,7 @@ STAGES = [
     ("decontaminate", drop_leaks),
     ("packing", pack),
 ]
-#: Deobfuscation, signatures, fingerprints and greedy packing are not SQL; tests hold run() against a brute-force version.
+#: Deobfuscation, signatures, fingerprints and greedy packing are not SQL; a test holds run() against a brute-force version of every stage but the toxicity model's fit.
 ORACLE_SQL = None
 
 
