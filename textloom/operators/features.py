@@ -1,7 +1,10 @@
 """Texts to sparse tf-idf features, by a fitted model.
 
 Features are long: (doc_id, term, value). Documents without terms have no rows there, so the table of documents goes beside it; they
-count in the number of documents. Terms whose weight is 0 keep their rows.
+count in the number of documents. Terms whose weight is 0 keep their rows. Ids of documents are unique.
+
+A document's counts and their norm are made within its row. What is shuffled is one row for each term and partition to fit, and to transform, the features once by term (unless the weights are
+small enough to be broadcast) and once by document.
 """
 
 from __future__ import annotations
@@ -12,21 +15,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import clean_text, tokens
-from textloom.operators.maps import normalise
+from textloom.operators.maps import fixed, normalise, normalise_lists
 from textloom.operators.phrases import find_bigrams, replace_bigrams
+from textloom.session import cut
+
+
+def term_lists(clean: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, entries): each document's terms and counts, as an array of (term, value), from its sorted words."""
+    words = F.array_sort(tokens(F.coalesce(F.col(text), F.lit(""))))
+    rows = clean.select(F.col(doc_id).alias("doc_id"), fixed(words).alias("w"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
+    starts = F.when(F.size("w") > 0, F.concat(starts, F.array(F.size("w") + 1))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc_id", "w", fixed(starts).alias("at"))
+    entries = F.zip_with(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda i, j: F.struct(F.get("w", i - 1).alias("term"), (j - i).cast("double").alias("value")))
+    return rows.select("doc_id", entries.alias("entries"))
+
+
+def long(lists: DataFrame) -> DataFrame:
+    """(doc_id, term, value) of (doc_id, entries)."""
+    return lists.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.term", "e.value")
 
 
 def term_counts(clean: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    terms = clean.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return long(term_lists(clean, doc_id, text))
 
 
 def idf_weights(features: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, weight): ln(n_docs / df) over the largest of them; all 0 stays 0."""
-    df = features.groupBy("term").agg(F.count_distinct("doc_id").alias("df")) if features.columns.count("doc_id") else features
+    """(term, df, weight) of features, one row for each document and term: ln(n_docs / df) over the largest of them; all 0 stays 0."""
+    df = features.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("idf", F.log(F.lit(float(max(n_docs, 1))) / F.col("df")))
     top = raw.agg(F.max(F.abs("idf")).alias("top"))
-    return raw.crossJoin(top).select("term", "df", F.when(F.col("top") != 0, F.col("idf") / F.col("top")).otherwise(F.col("idf")).alias("weight"))
+    return raw.crossJoin(F.broadcast(top)).select("term", "df", F.when(F.col("top") != 0, F.col("idf") / F.col("top")).otherwise(F.col("idf")).alias("weight"))
 
 
 @dataclass
@@ -45,14 +64,13 @@ class TfidfModel:
     def transform(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, term, value); terms that fitting did not see go."""
         p = self.params
-        found = term_counts(self.prepared(docs, doc_id, text))
+        lists = term_lists(self.prepared(docs, doc_id, text))
         if p.norm:
-            found = normalise(found, "doc_id", norm=p.norm)
-        if self.weights is not None:
-            found = found.join(self.weights.select("term", "weight"), "term").select("doc_id", "term", (F.col("value") * F.col("weight")).alias("value"))
-        if p.renorm:
-            found = normalise(found, "doc_id", norm=p.renorm)
-        return found.select("doc_id", "term", "value")
+            lists = normalise_lists(lists, norm=p.norm)
+        if self.weights is None:
+            return long(normalise_lists(lists, norm=p.renorm) if p.renorm else lists)
+        found = long(lists).join(self.weights.select("term", "weight"), "term").select("doc_id", "term", (F.col("value") * F.col("weight")).alias("value"))
+        return (normalise(found, "doc_id", norm=p.renorm) if p.renorm else found).select("doc_id", "term", "value")
 
     def save(self, path: str) -> None:
         for name in ("bigrams", "weights"):
@@ -82,10 +100,11 @@ class Tfidf:
         model = TfidfModel(self, None, None)
         clean = model.prepared(own, doc_id, text)
         if self.identify_bigrams:
-            model.bigrams = find_bigrams(clean, threshold=self.bg_threshold)
+            clean = cut(clean)  # read for words, for pairs and for replacement
+            model.bigrams = cut(find_bigrams(clean, threshold=self.bg_threshold))
             clean = replace_bigrams(clean, model.bigrams)
         if self.weight:
-            model.weights = idf_weights(term_counts(clean), own.select(doc_id).distinct().count())
+            model.weights = cut(idf_weights(term_counts(clean), own.select(doc_id).distinct().count()))
         return model
 
 

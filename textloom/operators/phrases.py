@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import tokens
+from textloom.session import cut
 
 #: Phrases replaced in one pass; more take further passes, in order, so that an executor's automaton stays small.
 PHRASES_A_PASS = 200_000
@@ -55,16 +57,36 @@ def _replacer(phrases: list[str]):
     return replace
 
 
+#: Replacers that this worker has built, by the key of their phrases.
+_built: dict[str, object] = {}
+
+
+def _replacer_of(key: str, phrases: list[str]):
+    if key not in _built:
+        if len(_built) > 3:
+            _built.clear()
+        _built[key] = _replacer(phrases)
+    return _built[key]
+
+
 def replace_bigrams(clean: DataFrame, bigrams: DataFrame, text: str = "text", a_pass: int = PHRASES_A_PASS) -> DataFrame:
-    """clean with phrases joined by an underscore, replaced as substrings one after another by (score desc, w1, w2)."""
-    listed = bigrams.select("w1", "w2", "score").orderBy(F.desc("score"), "w1", "w2")
-    phrases = [f"{r.w1} {r.w2}" for r in listed.toLocalIterator()]
-    at = clean.columns.index(text)
-    for i in range(0, len(phrases), a_pass):
-        shared = clean.sparkSession.sparkContext.broadcast(phrases[i : i + a_pass])
+    """clean with phrases joined by an underscore, replaced as substrings one after another by (score desc, w1, w2).
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            replace = _replacer(shared.value)
+    A pass broadcasts a_pass phrases at most, so neither the driver nor a worker ever holds more than those of one pass.
+    """
+    listed = bigrams.select("w1", "w2", "score").orderBy(F.desc("score"), "w1", "w2")
+    n = bigrams.count()
+    if n > a_pass:
+        listed = cut(listed)  # each pass reads a range of it
+    at, done = clean.columns.index(text), None
+    for _ in range(-(-n // a_pass)):
+        rest = listed if done is None else listed.filter((F.col("score") < done[2]) | ((F.col("score") == done[2]) & (F.struct("w1", "w2") > F.struct(F.lit(done[0]), F.lit(done[1])))))
+        rows = (rest.orderBy(F.desc("score"), "w1", "w2").limit(a_pass) if n > a_pass else rest).collect()
+        done = rows[-1]
+        shared, key = clean.sparkSession.sparkContext.broadcast([f"{r.w1} {r.w2}" for r in rows]), uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            replace = _replacer_of(key, shared.value)
             for batch in batches:
                 new = pa.array([replace(t) for t in batch.column(at).to_pylist()], pa.string())
                 yield batch.set_column(at, batch.schema.field(at).with_type(pa.string()), new)

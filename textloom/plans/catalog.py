@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from textloom.functions import colors
 from textloom.functions.text import clean_text, norm_whitespace, tokens
 from textloom.operators import embed, folds, knn, maps, pairs, phrases, similarity
-from textloom.operators.features import Tfidf, feature_matrix, idf_weights, term_counts
+from textloom.operators.features import Tfidf, feature_matrix, idf_weights, long, term_counts, term_lists
 from textloom.plans import oracles
+from textloom.session import cut, spread
 from textloom.sources import viz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,7 @@ def invert_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def transpose_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = term_counts(cleaned(documents(spark, sf_dir))).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("entries"))
+    counts = term_lists(cleaned(documents(spark, sf_dir))).select("doc_id", F.map_from_entries("entries").alias("entries"))
     return maps.transpose(counts, "doc_id", "entries").select(F.col("key").alias("term"), F.explode("entries").alias("doc_id", "value"))
 
 
@@ -119,8 +120,8 @@ def scale_by_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _norm(norm: str, n_all: int) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        counts = term_counts(cleaned(documents(spark, sf_dir)))
-        return rounded(maps.normalise(counts, "doc_id", norm=norm, n_all=n_all), "value")
+        lists = term_lists(cleaned(documents(spark, sf_dir)))
+        return rounded(long(maps.normalise_lists(lists, norm=norm, n_all=n_all)), "value")
 
     run.__name__ = f"norm_{norm}" + ("_padded" if n_all else "")
     return run
@@ -149,18 +150,18 @@ query(_combined(lambda pair: pair[0] - pair[1], "combine_function"))
 
 @query
 def bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(phrases.bigram_scores(cleaned(documents(spark, sf_dir))), "score")
+    return rounded(phrases.bigram_scores(cut(cleaned(documents(spark, sf_dir)))), "score")
 
 
 @query
 def find_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(phrases.find_bigrams(cleaned(documents(spark, sf_dir))), "score")
+    return rounded(phrases.find_bigrams(cut(cleaned(documents(spark, sf_dir)))), "score")
 
 
 @query
 def replace_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = cleaned(documents(spark, sf_dir))
-    return phrases.replace_bigrams(docs, phrases.find_bigrams(docs))
+    docs = cut(cleaned(documents(spark, sf_dir)))
+    return phrases.replace_bigrams(docs, cut(phrases.find_bigrams(docs)))
 
 
 @query
@@ -203,7 +204,7 @@ def tf_sum_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return rounded(feature_matrix(WORDS.fit(docs).transform(docs).persist())[0], "value")
+    return rounded(feature_matrix(cut(WORDS.fit(docs).transform(docs)))[0], "value")
 
 
 # Similarities: items with items, documents with items
@@ -212,7 +213,7 @@ def feature_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     docs, own = documents(spark, sf_dir), items(spark, sf_dir)
     model = WORDS.fit(docs)
-    return model.transform(docs).persist(), docs, model.transform(own).persist(), own
+    return cut(model.transform(docs)), docs, cut(model.transform(own)), own
 
 
 def _self_sim(sim: str, normalize: bool = False) -> Callable:
@@ -247,7 +248,7 @@ for _sim in ("linear", "histint", "gaussian"):
 def top_k_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents most similar to each, by the cosine of tf-idf features."""
     docs = documents(spark, sf_dir)
-    features = WORDS.fit(docs).transform(docs).persist()
+    features = cut(WORDS.fit(docs).transform(docs))
     return rounded(pairs.nearest_by_dot(features, docs, features, docs, 10), "sim")
 
 
@@ -260,7 +261,7 @@ def top_k_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Features, documents without labels, documents with labels, labels."""
     docs, known = documents(spark, sf_dir), labels(spark, sf_dir)
-    return WORDS.fit(docs).transform(docs).persist(), docs.join(known, "doc_id", "left_anti").select("doc_id"), docs.join(known, "doc_id", "left_semi").select("doc_id"), known
+    return cut(WORDS.fit(docs).transform(docs)), docs.join(known, "doc_id", "left_anti").select("doc_id"), docs.join(known, "doc_id", "left_semi").select("doc_id"), known
 
 
 def _knn(adapt: bool, weight: bool) -> Callable:
