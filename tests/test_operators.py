@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from textloom.functions.text import clean_text, norm_whitespace
-from textloom.operators import embed, folds, knn, maps, pairs, phrases, similarity
+from textloom.operators import embed, folds, knn, linear, maps, pairs, phrases, similarity
+from textloom.operators import features as features_module
 from textloom.operators.features import Tfidf, TfidfModel, feature_matrix, idf_weights, term_counts
 from textloom.plans import catalog
 from textloom.streaming.features import stream_features
@@ -60,7 +61,7 @@ def test_binary_and_unknown_norms(spark):
 
 def test_merge(spark):
     a, b = (spark.createDataFrame(x, "k string, value double") for x in ([("x", 1.0), ("y", 2.0)], [("y", 5.0), ("z", 3.0)]))
-    for op, y in (("max", 5.0), ("sum", 7.0), ("min", 2.0), (lambda p: p[0] * p[1], 10.0)):
+    for op, y in (("max", 5.0), ("sum", 7.0), ("min", 2.0), (lambda p: p[0] * p[1], 10.0), (maps.on_columns(lambda x, y: x - y), -3.0)):
         assert {r.k: r.value for r in maps.combine(a, b, ["k"], op=op).collect()} == {"x": 1.0, "y": y, "z": 3.0}
 
 
@@ -252,5 +253,65 @@ def test_stream(spark, tmp_path):
 
 
 def test_every_query_but_the_numerical_ones_has_sql():
-    assert catalog.QUERIES.keys() - catalog.ORACLES.keys() == {"distance_to_affinity", "classical_scaling", "tsne"}
+    assert catalog.QUERIES.keys() - catalog.ORACLES.keys() == {"classical_scaling", "tsne"}
     assert catalog.ORACLES.keys() <= catalog.QUERIES.keys()
+
+
+@pytest.mark.parametrize("sim", ["jaccard", "simpson", "braun", "kulczynski", "dice", "otsuka", "sokal", "histint", "polynomial", "sigmoidal", "cosine", "angularsim", "angulardist"])
+def test_blocks_rank_by_other_similarities(spark, sim):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"t{t}", float(v)) for i in range(40) for t, v in zip(rng.choice(30, 8, replace=False), rng.random(8), strict=True)]
+    features, docs = spark.createDataFrame(rows, "doc_id long, term string, value double"), spark.createDataFrame([(i,) for i in range(42)], "doc_id long")
+    every = pairs.top_k(similarity.cross_similarity(features, docs, features, docs, sim), 4)
+    found = pairs.nearest_by(features, docs, features, docs, sim, 4, block=11)
+    key = lambda df: {(r.row_id, r["rank"], r.col_id): r.sim for r in df.collect()}
+    a, b = key(every), key(found)
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_counts_and_norms_within_rows_are_those_of_the_long_table(spark):
+    docs = spark.createDataFrame([(1, "b a b c b"), (2, ""), (3, None), (4, "x"), (5, "a a a b")], "doc_id long, text string")
+    assert {(r.doc_id, r.term): r.value for r in features_module.term_counts(docs).collect()} == {(1, "a"): 1, (1, "b"): 3, (1, "c"): 1, (4, "x"): 1, (5, "a"): 3, (5, "b"): 1}
+    for norm in maps.NORMS:
+        for n_all in (0, 7):
+            long = maps.normalise(features_module.term_counts(docs), "doc_id", norm=norm, n_all=n_all)
+            lists = features_module.long(maps.normalise_lists(features_module.term_lists(docs), norm=norm, n_all=n_all))
+            assert {(r.doc_id, r.term, round(r.value, 9)) for r in long.collect()} == {(r.doc_id, r.term, round(r.value, 9)) for r in lists.collect()}
+
+
+def test_phrases_in_several_passes(spark):
+    docs = spark.createDataFrame([(1, "a b c d a b c"), (2, "c d"), (3, None)], "doc_id long, text string")
+    bigrams = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.5), ("c", "d", 0.7), ("x", "y", 0.9), ("d", "a", 0.1)], "w1 string, w2 string, score double")
+    every = {(r.doc_id, r.text) for r in phrases.replace_bigrams(docs, bigrams).collect()}
+    assert every == {(r.doc_id, r.text) for r in phrases.replace_bigrams(docs, bigrams, a_pass=1).collect()} == {(r.doc_id, r.text) for r in phrases.replace_bigrams(docs, bigrams, a_pass=2).collect()}
+    assert (1, "a_b_c_d_a_b_c") in every  # replaced as substrings
+
+
+def test_folds_of_ids_of_any_type(spark):
+    ids = spark.createDataFrame([(f"d{i:02d}",) for i in range(25)], "doc_id string").repartition(5)
+    rows = folds.kfold(ids, 4).collect()
+    assert {(r.fold, r.doc_id) for r in rows if r.is_test} == {(i % 4, f"d{i:02d}") for i in range(25)} and len(rows) == 100
+    assert folds.kfold(ids.limit(0), 4).count() == 0
+
+
+def test_scaling_in_more_dimensions(spark):
+    x = np.random.default_rng(6).normal(size=(12, 3))
+    k = x @ x.T
+    sims = spark.createDataFrame([(i, j, float(k[i, j])) for i in range(12) for j in range(12)], "row_id long, col_id long, sim double")
+    y = np.array([[r.x1, r.x2, r.x3] for r in embed.classical_scaling(sims, dims=3).orderBy("doc_id").collect()])
+    c = x - x.mean(axis=0)
+    assert np.allclose(y @ y.T, c @ c.T)
+    assert embed.tsne(sims, max_iter=10, dims=3).columns == ["doc_id", "x1", "x2", "x3"] and embed.classical_scaling(sims).columns == ["doc_id", "x", "y"]
+
+
+def test_linear_classifiers(spark):
+    rng = np.random.default_rng(7)
+    cells = [(i, int(c), 1.0) for i in range(60) for c in {i % 3, *rng.integers(3, 9, 2)}]
+    docs = spark.createDataFrame([(i,) for i in range(61)], "doc_id long")
+    own = linear.vectors(spark.createDataFrame(cells, "doc_id long, col_idx long, value double"), 9, docs)
+    labels = spark.createDataFrame([(i, i % 3) for i in range(40)], "doc_id long, category int")
+    for method in ("logistic", "svm"):
+        found = {r.doc_id: r.category for r in linear.classify(own, labels, own, method).collect()}
+        assert len(found) == 61 and all(found[i] == i % 3 for i in range(60))
+    with pytest.raises(ValueError, match="method"):
+        linear.classify(own, labels, own, "tree")

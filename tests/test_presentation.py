@@ -25,11 +25,32 @@ def test_records_there_and_back(spark, tmp_path):
     at = lambda *ids: spark.createDataFrame([(i, float(i), -float(i)) for i in ids], "doc_id long, x double, y double")
     records = viz.viz_records(docs, at(1, 2), labels, test_coords=at(3))
     assert {r.id: (r.title, r.color) for r in records.collect()} == {1: ("1 (x)", "rgb(204,0,0)"), 2: ("2 (y)", "rgb(0,204,0)"), 3: ("3 (x) - TEST POINT", "rgb(204,0,0)")}
-    viz.write_json_array(records, f"{tmp_path}/array")
+    viz.write_json_array(records, f"{tmp_path}/array.json")
     viz.write_json_lines(records, f"{tmp_path}/lines")
-    text = "".join(p.read_text() for p in (tmp_path / "array").glob("part*"))
-    assert {x["id"] for x in json.loads(text)} == {1, 2, 3}
-    for back in (viz.read_json(spark, f"{tmp_path}/array"), viz.read_json_lines(spark, f"{tmp_path}/lines")):
+    listed = json.loads((tmp_path / "array.json").read_text())
+    assert [x["id"] for x in listed] == [1, 2, 3] and set(listed[0]) == {"id", "x", "y", "title", "description", "color"}
+    viz.write_json_array(records.limit(0), f"{tmp_path}/none.json")
+    assert json.loads((tmp_path / "none.json").read_text()) == []
+    for back in (viz.read_json(spark, f"{tmp_path}/array.json"), viz.read_json_lines(spark, f"{tmp_path}/lines")):
         assert {(r.id, r.x, r.description, r.category) for r in back.collect()} == {("1", 1.0, "one", "x"), ("2", 2.0, "two", "y"), ("3", 3.0, 'th"ree', "x")}
     spec = viz.plot_spec(at(1, 2), labels, test_coords=at(3)).collect()
     assert {(r.series, r.category, r.alpha, r.x_low, r.x_high) for r in spec} == {(0, "x", 0.6, 1.0, 2.0), (1, "y", 0.6, 1.0, 2.0), (0, "x", 1.0, 1.0, 2.0)}
+
+
+def test_records_to_plot(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, category int")
+    coords = spark.createDataFrame([(i, float(i), float(-i)) for i in range(6)], "doc_id long, x double, y double")
+    names = spark.createDataFrame([(0, "good"), (1, "bad")], "category int, name string")
+    path = f"{tmp_path}/records.json"
+    viz.write_json_array(viz.viz_records(docs, coords, labels, names), path)
+    spec = viz.json_to_plot(spark, path).collect()
+    assert sorted((r.series, r.category, r.x) for r in spec) == [(0, "bad", 1.0), (0, "bad", 3.0), (0, "bad", 5.0), (1, "good", 0.0), (1, "good", 2.0), (1, "good", 4.0)]
+    spec = viz.json_to_plot(spark, path, names=["good", "other", "bad"]).collect()
+    assert {(r.series, r.category) for r in spec} == {(0, "good"), (2, "bad")} and len(spec) == 6
+    try:
+        import matplotlib  # noqa: F401
+    except ImportError:
+        return
+    viz.json_to_plot(spark, path, f"{tmp_path}/plot.png", "title")
+    assert (tmp_path / "plot.png").stat().st_size > 1000

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import cut
+
 #: Characters of the sort key by which rows are dealt to ranges.
 PREFIX = 3
 
@@ -22,12 +24,23 @@ def positions(rows: DataFrame, key: list[str], part: list[Column], name: str = "
     return dealt.withColumn("__rank", rank).join(sizes, names).withColumn(name, (F.col("__rank") + F.col("__before")).cast("long")).drop("__rank", "__before", *names)
 
 
+def ranked(rows: DataFrame, *keys: str, name: str = "idx") -> DataFrame:
+    """rows with their position, from 0, in the order of keys of any type: sorted by ranges, and numbered by the sizes of the ranges."""
+    at, part, size, before = "__at", "__part", "__size", "__before"
+    placed = cut(rows.orderBy(*keys).withColumn(at, F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count(F.lit(1)).alias(size)).orderBy(part).collect()
+    sums, total = [], 0
+    for r in sizes:
+        sums.append((r[part], total))
+        total += r[size]
+    starts = rows.sparkSession.createDataFrame(sums, f"{part} long, {before} long")
+    own = placed.withColumn(part, F.shiftright(at, 33)).join(F.broadcast(starts), part)
+    return own.withColumn(name, F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(at, part, before)
+
+
 def kfold(ids: DataFrame, k: int = 10, doc_id: str = "doc_id") -> DataFrame:
-    """(fold, doc_id, is_test): the document at position i of the sorted ids is tested in fold i % k and trained on in the others."""
-    bounds = ids.agg(F.min(doc_id).alias("low"), F.max(doc_id).alias("high")).first()
-    width = max(1, ((bounds.high - bounds.low) // 256 + 1) if bounds.low is not None else 1)
-    placed = positions(ids.select(doc_id), [doc_id], [F.floor((F.col(doc_id) - F.lit(bounds.low or 0)) / width)])
-    return _spread(placed, k, doc_id)
+    """(fold, doc_id, is_test): the document at position i of the sorted ids (of any type) is tested in fold i % k and trained on in the others."""
+    return _spread(ranked(ids.select(doc_id), doc_id), k, doc_id)
 
 
 def _spread(placed: DataFrame, k: int, *columns: str) -> DataFrame:

@@ -84,7 +84,7 @@ def list_size(entries: Column, norm: str, n_all: int = 0) -> Column:
     if norm not in NORMS:
         raise ValueError(f"unknown norm {norm!r}; known: {', '.join(NORMS)}")
     add = lambda f: F.aggregate(entries, F.lit(0.0), lambda a, x: a + f(x["value"]))
-    n = F.greatest(F.lit(n_all), F.size(entries)).cast("double")
+    n = F.nullif(F.greatest(F.lit(n_all), F.size(entries)).cast("double"), F.lit(0.0))
     if norm == "max":
         return F.aggregate(entries, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x["value"])))
     if norm == "length":

@@ -1,14 +1,17 @@
-"""Nearest documents by dot product, in blocks; rankings; distances to affinities."""
+"""Nearest documents by shared terms, in blocks; rankings; distances to affinities."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.similarity import ANGLES, unit_length
+
 #: Documents of a block; a pair of blocks is one task.
-BLOCK_DOCS = 4096
+BLOCK_DOCS = 2048
 #: Decimals in which similarities are compared, so that equal documents tie whatever the order of summation.
 TIE_DECIMALS = 9
 
@@ -20,61 +23,120 @@ def top_k(sims: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("row_id", "rank", "col_id", "sim")
 
 
-def nearest_by_dot(rows: DataFrame, row_docs: DataFrame, cols: DataFrame, col_docs: DataFrame, k: int = 10, exclude_self: bool = True, block: int = BLOCK_DOCS) -> DataFrame:
-    """top_k() of the dot products of all pairs, without a row for each pair.
-
-    Both sides are dealt to blocks. A task holds one block of each side, adds up its products term by term, and keeps the k best of each row.
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+
+
+#: The last step of similarities that blocks can rank, from the sum over shared terms and the two documents' sums of values: of products, and of minima.
+_PRODUCT = {
+    "linear": lambda s, x, y: s,
+    "polynomial": lambda s, x, y: s * s,
+    "sigmoidal": lambda s, x, y: np.tanh(s),
+    "cosine": lambda s, x, y: s,
+    "angularsim": lambda s, x, y: 1 - 2 * np.arccos(np.clip(s, 0, 1)) / np.pi,
+    "angulardist": lambda s, x, y: 2 * np.arccos(np.clip(s, 0, 1)) / np.pi,
+}
+_MINIMUM = {
+    "histint": lambda s, x, y: s,
+    "simpson": lambda s, x, y: _share(s, np.minimum(x, y)),
+    "braun": lambda s, x, y: _share(s, np.maximum(x, y)),
+    "kulczynski": lambda s, x, y: np.where((y != 0) & (x != 0), (_share(s, np.full_like(s, x)) + _share(s, y)) / 2, 0),
+    "jaccard": lambda s, x, y: _share(s, x + y - s),
+    "dice": lambda s, x, y: _share(2 * s, x + y),
+    "otsuka": lambda s, x, y: _share(s, np.sqrt(x) * np.sqrt(y)),
+    "sokal": lambda s, x, y: _share(s, 2 * x + 2 * y - 3 * s),
+}
+#: Most terms of a block pair that are multiplied as dense columns.
+DENSE_TERMS = 1024
+
+
+def _best(table: pa.Table, sim: str, k: int, exclude_self: bool) -> pa.Table:
+    """(row_id, col_id, sim): the k best of each row document among the column documents of a block pair (doc_id, terms, values, is_row)."""
+    product = sim in _PRODUCT
+    last = (_PRODUCT if product else _MINIMUM)[sim]
+    table = table.combine_chunks()
+    of_rows, docs = table["is_row"].to_numpy(zero_copy_only=False), table["doc_id"].to_numpy(zero_copy_only=False)
+    own = np.repeat(np.arange(table.num_rows), pc.list_value_length(table["terms"]).to_numpy(zero_copy_only=False).astype(np.int64))
+    value, (_, term) = pc.list_flatten(table["values"]).to_numpy(), np.unique(pc.list_flatten(table["terms"]).to_numpy(), return_inverse=True)
+    n_terms = int(term.max()) + 1 if len(term) else 0
+    names, name = np.unique(docs[of_rows], return_inverse=True)
+    others, other = np.unique(docs[~of_rows], return_inverse=True)
+    place = np.zeros(table.num_rows, np.int64)
+    place[of_rows], place[~of_rows] = name, other
+    is_row = of_rows[own]
+    row, rt, rv = place[own[is_row]], term[is_row], value[is_row]
+    col, ct, cv = place[own[~is_row]], term[~is_row], value[~is_row]
+    x, y = np.bincount(row, rv, minlength=len(names)), np.bincount(col, cv, minlength=len(others))
+    a = b = np.zeros((0, 0))
+    df = np.bincount(ct, minlength=n_terms)
+    common = np.flatnonzero(df * 16 > len(others))
+    common = common[np.argsort(-df[common])][:DENSE_TERMS] if product else common[:0]
+    if len(common):  # terms of many documents as a matrix product
+        place = np.full(n_terms, -1)
+        place[common] = np.arange(len(common))
+        a, b = np.zeros((len(names), len(common))), np.zeros((len(others), len(common)))
+        a[row[place[rt] >= 0], place[rt[place[rt] >= 0]]] = rv[place[rt] >= 0]
+        b[col[place[ct] >= 0], place[ct[place[ct] >= 0]]] = cv[place[ct] >= 0]
+        row, rt, rv, col, ct, cv = row[place[rt] < 0], rt[place[rt] < 0], rv[place[rt] < 0], col[place[ct] < 0], ct[place[ct] < 0], cv[place[ct] < 0]
+    order = np.argsort(ct, kind="stable")
+    ct, cv, col = ct[order], cv[order], col[order]
+    first = np.searchsorted(ct, np.arange(n_terms + 1))
+    order = np.argsort(row, kind="stable")
+    row, rt, rv = row[order], rt[order], rv[order]
+    bounds = np.searchsorted(row, np.arange(len(names) + 1))
+    out_row, out_col, out_sim = [], [], []
+    for i in range(len(names) if len(others) else 0):
+        if len(common) and i % 256 == 0:
+            dense = a[i : i + 256] @ b.T
+        t, v = rt[bounds[i] : bounds[i + 1]], rv[bounds[i] : bounds[i + 1]]
+        n = first[t + 1] - first[t]
+        at = np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        mine = np.repeat(v, n)
+        total = np.bincount(col[at], cv[at] * mine if product else np.minimum(cv[at], mine), minlength=len(others)).astype(np.float64)
+        if len(common):
+            total = total + dense[i % 256]
+        found = last(total, x[i], y)
+        usable = np.flatnonzero(others != names[i]) if exclude_self else np.arange(len(others))
+        tied = np.round(found[usable], TIE_DECIMALS)
+        if len(usable) > k:
+            low = -np.partition(-tied, k - 1)[k - 1]
+            usable = usable[tied >= low]
+            tied = np.round(found[usable], TIE_DECIMALS)
+        best = usable[np.lexsort((-usable, -tied))[:k]]
+        out_row.append(np.full(len(best), i))
+        out_col.append(best)
+        out_sim.append(found[best])
+    cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
+    return pa.table({"row_id": names[cat(out_row, np.int64)], "col_id": others[cat(out_col, np.int64)], "sim": cat(out_sim, np.float64)})
+
+
+def nearest_by(rows: DataFrame, row_docs: DataFrame, cols: DataFrame, col_docs: DataFrame, sim: str = "linear", k: int = 10, exclude_self: bool = True, block: int = BLOCK_DOCS) -> DataFrame:
+    """top_k() of a similarity that follows from shared terms (of products or minima), without a row for each pair.
+
+    Both sides are dealt to blocks. A task holds one block of each side, adds up the shared terms, and keeps the k best of each row.
+    A document travels as one row, its terms as 64-bit hashes.
     """
+    if sim not in _PRODUCT and sim not in _MINIMUM:
+        raise ValueError(f"blocks can't rank by {sim!r}; they can by {', '.join((*_PRODUCT, *_MINIMUM))}")
+    if sim in ANGLES:
+        rows, cols = unit_length(rows), unit_length(cols)
     n_rows, n_cols = (max(1, -(-d.select("doc_id").distinct().count() // block)) for d in (row_docs, col_docs))
 
     def dealt(features: DataFrame, docs: DataFrame, is_row: bool) -> DataFrame:
-        whole = docs.select("doc_id").distinct().join(features, "doc_id", "left").select("doc_id", "term", "value")
+        packed = features.groupBy("doc_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("value").cast("double").alias("v"))).alias("e"))
+        listed = docs.select("doc_id").distinct().join(packed, "doc_id", "left").select("doc_id", F.coalesce("e.t", F.array().cast("array<bigint>")).alias("terms"), F.coalesce("e.v", F.array().cast("array<double>")).alias("values"))
         own = F.pmod(F.xxhash64("doc_id"), F.lit(n_rows if is_row else n_cols)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit((n_cols if is_row else n_rows) - 1)))
-        if is_row:
-            return whole.select("doc_id", "term", "value", F.lit(True).alias("is_row"), own.alias("a"), every.alias("b"))
-        return whole.select("doc_id", "term", "value", F.lit(False).alias("is_row"), every.alias("a"), own.alias("b"))
+        return listed.select("*", F.lit(is_row).alias("is_row"), *((own.alias("a"), every.alias("b")) if is_row else (every.alias("a"), own.alias("b"))))
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    pairs = dealt(rows, row_docs, True).union(dealt(cols, col_docs, False)).groupBy("a", "b")
+    return top_k(pairs.applyInArrow(lambda t: _best(t, sim, k, exclude_self), f"row_id {id_type}, col_id {id_type}, sim double"), k, False)
 
-    def pair(table: pa.Table) -> pa.Table:
-        is_row = table["is_row"].to_numpy(zero_copy_only=False)
-        code = table["term"].combine_chunks().dictionary_encode()
-        term = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        value = table["value"].fill_null(0.0).to_numpy()
-        doc = table["doc_id"].to_numpy(zero_copy_only=False)
-        names, row = np.unique(doc[is_row], return_inverse=True)
-        others, col = np.unique(doc[~is_row], return_inverse=True)
-        ct, cv, rt, rv = term[~is_row], value[~is_row], term[is_row], value[is_row]
-        order = np.argsort(ct, kind="stable")
-        ct, cv, col = ct[order], cv[order], col[order]
-        n_terms = len(code.dictionary)
-        first = np.searchsorted(ct, np.arange(n_terms + 1))
-        order = np.argsort(row, kind="stable")
-        row, rt, rv = row[order], rt[order], rv[order]
-        bounds = np.searchsorted(row, np.arange(len(names) + 1))
-        out_row, out_col, out_sim = [], [], []
-        for i in range(len(names) if len(others) else 0):
-            t, v = rt[bounds[i] : bounds[i + 1]], rv[bounds[i] : bounds[i + 1]]
-            v, t = v[t >= 0], t[t >= 0]
-            n = first[t + 1] - first[t]
-            at = np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            sim = np.bincount(col[at], cv[at] * np.repeat(v, n), minlength=len(others))
-            usable = np.flatnonzero(others != names[i]) if exclude_self else np.arange(len(others))
-            tied = np.round(sim[usable], TIE_DECIMALS)
-            if len(usable) > k:
-                low = -np.partition(-tied, k - 1)[k - 1]
-                usable = usable[tied >= low]
-                tied = np.round(sim[usable], TIE_DECIMALS)
-            best = usable[np.lexsort((-usable, -tied))[:k]]
-            out_row.append(np.full(len(best), i))
-            out_col.append(best)
-            out_sim.append(sim[best])
-        cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        return pa.table({"row_id": names[cat(out_row, np.int64)], "col_id": others[cat(out_col, np.int64)], "sim": cat(out_sim, np.float64)})
-
-    found = dealt(rows, row_docs, True).union(dealt(cols, col_docs, False)).groupBy("a", "b").applyInArrow(pair, f"row_id {id_type}, col_id {id_type}, sim double")
-    return top_k(found, k, False)
+
+def nearest_by_dot(rows: DataFrame, row_docs: DataFrame, cols: DataFrame, col_docs: DataFrame, k: int = 10, exclude_self: bool = True, block: int = BLOCK_DOCS) -> DataFrame:
+    """nearest_by() the dot product."""
+    return nearest_by(rows, row_docs, cols, col_docs, "linear", k, exclude_self, block)
 
 
 def pairwise_distance(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", squared: bool = False) -> DataFrame:

@@ -87,7 +87,8 @@ def _totals(features: DataFrame, docs: DataFrame, alone: Callable | None, side:
     return whole.select(F.col("doc_id").alias(f"{side}_id"), *[F.coalesce(c, F.lit(0)).alias(f"{side}_{c}") for c in ("n", "z")], *[F.coalesce(c, F.lit(0.0)).alias(f"{side}_{c}") for c in ("sum", "all")])
 
 
-def _unit(features: DataFrame) -> DataFrame:
+def unit_length(features: DataFrame) -> DataFrame:
+    """Values over the length of their document's."""
     size = features.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("__size"))
     return features.join(size, "doc_id").select("doc_id", "term", F.when(F.col("__size") > 0, F.col("value") / F.col("__size")).otherwise(F.col("value")).alias("value"))
 
@@ -109,7 +110,7 @@ def self_values(features: DataFrame, docs: DataFrame, sim: str) -> DataFrame:
     if sim == "chebyshev":
         return _totals(features, docs, None, "row").select(F.col("row_id").alias("doc_id"), F.when(F.col("row_n") > 0, F.lit(1.0)).alias("own"))
     if sim in ANGLES:
-        features = _unit(features)
+        features = unit_length(features)
     spec = SIMS["linear" if sim in ANGLES else sim]
     v = F.col("value")
     found = features.groupBy("doc_id").agg(F.sum(spec.shared(v, v)).alias("d"), F.sum(v).alias("x"), F.count_if(v == 0).alias("z"))
@@ -132,7 +133,7 @@ def cross_similarity(rows: DataFrame, row_docs: DataFrame, cols: DataFrame, col_
         out = _chebyshev(rows, row_docs, cols, col_docs)
     else:
         spec = SIMS["linear" if sim in ANGLES else sim]
-        own = (_unit(rows), _unit(cols)) if sim in ANGLES else (rows, cols)
+        own = (unit_length(rows), unit_length(cols)) if sim in ANGLES else (rows, cols)
         left = own[0].select(F.col("doc_id").alias("row_id"), "term", F.col("value").alias("x"))
         right = own[1].select(F.col("doc_id").alias("col_id"), "term", F.col("value").alias("y"))
         x, y = F.col("x"), F.col("y")

@@ -102,16 +102,32 @@ def _sim_map(name: str) -> str:
     return f"WITH {BOTH}, {_values(name, 'x', 'd', 'y', 'b')} SELECT row_id, col_id, round(least(sim, 1e12), 6) AS sim FROM k"
 
 
-def _self(name: str, features: str) -> str:
+def _self(name: str, features: str, docs: str) -> str:
     total, last = _X[name]
-    return f"(SELECT doc_id, {last} AS own FROM (SELECT doc_id, {total} AS s FROM (SELECT doc_id, v AS x, v AS y FROM {features}) GROUP BY doc_id))"
+    last = last or f"1 / ({EPS} + s)"
+    empty = "NULL" if name == "chebyshev" else "0"
+    sums = f"SELECT doc_id, {total} AS s, sum(x) AS p, sum(y) AS q FROM (SELECT doc_id, v AS x, v AS y FROM {features}) GROUP BY doc_id"
+    return f"(SELECT doc_id, {last} AS own FROM (SELECT doc_id, coalesce(s, {empty}) AS s, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM (SELECT DISTINCT doc_id FROM {docs}) LEFT JOIN ({sums}) USING (doc_id)))"
 
 
 def _normalized(name: str, cross: bool) -> str:
     head = f"WITH {BOTH}, {_values(name, 'x', 'd', 'y', 'b')}" if cross else f"WITH {OWN}, {_values(name, 'y', 'b', 'y', 'b')}"
-    own = "1" if name == "gaussian" else "0"
-    part = f"CASE WHEN coalesce(i.own, {own}) + coalesce(j.own, {own}) <> 0 THEN round(sim / ((coalesce(i.own, {own}) + coalesce(j.own, {own})) / 2), 6) END"
-    return f"{head} SELECT row_id, col_id, {part} AS sim FROM k LEFT JOIN {_self(name, 'x' if cross else 'y')} i ON i.doc_id = row_id LEFT JOIN {_self(name, 'y')} j ON j.doc_id = col_id"
+    part = "CASE WHEN i.own + j.own <> 0 THEN round(least(sim / ((i.own + j.own) / 2), 1e12), 6) END"
+    return f"{head} SELECT row_id, col_id, {part} AS sim FROM k LEFT JOIN {_self(name, *('xd' if cross else 'yb'))} i ON i.doc_id = row_id LEFT JOIN {_self(name, 'y', 'b')} j ON j.doc_id = col_id"
+
+
+def _affinity(perp: float, tol: float, rounds: int) -> str:
+    """Bisection of each column's precision by recursion; the entropy of p / sum(p) follows from sums of p and of d * p."""
+    error = f"log2(sum(exp(-dist * s))) + any_value(s) * sum(dist * exp(-dist * s)) / (sum(exp(-dist * s)) * ln(2)) - log2({perp})"
+    return f"""WITH RECURSIVE {OWN}, {_values('angulardist', 'y', 'b', 'y', 'b')}, d AS MATERIALIZED (SELECT row_id, col_id, sim AS dist FROM k),
+steps AS (SELECT 0 AS round, col_id, 1.0::DOUBLE AS s, 0.0::DOUBLE AS low, 250.0::DOUBLE AS high FROM d GROUP BY col_id
+UNION ALL SELECT round + 1, col_id, CASE WHEN e > 0 THEN (s + high) / 2 ELSE (low + s) / 2 END, CASE WHEN e > 0 THEN s ELSE low END, CASE WHEN e > 0 THEN high ELSE s END
+FROM (SELECT round, steps.col_id, any_value(s) AS s, any_value(low) AS low, any_value(high) AS high, {error} AS e FROM steps JOIN d ON d.col_id = steps.col_id AND row_id <> d.col_id WHERE round < {rounds} GROUP BY round, steps.col_id)),
+errors AS (SELECT round, steps.col_id, any_value(s) AS s, {error} AS e FROM steps JOIN d ON d.col_id = steps.col_id AND row_id <> d.col_id GROUP BY round, steps.col_id),
+ends AS (SELECT min(round) AS round FROM (SELECT round, sum(abs(e)) AS e FROM errors GROUP BY round) WHERE e <= {tol} OR round = {rounds}),
+p AS (SELECT row_id, d.col_id, CASE WHEN row_id = d.col_id THEN 0 ELSE exp(-dist * s) END AS p FROM d JOIN errors ON errors.col_id = d.col_id WHERE round = (SELECT round FROM ends)),
+q AS MATERIALIZED (SELECT row_id, col_id, CASE WHEN sum(p) OVER (PARTITION BY col_id) > 0 THEN p / sum(p) OVER (PARTITION BY col_id) ELSE 0 END AS q FROM p)
+SELECT a.row_id, a.col_id, round((a.q + b.q) / (2 * (SELECT count(DISTINCT col_id) FROM q)), 9) AS sim FROM q a JOIN q b ON a.row_id = b.col_id AND a.col_id = b.row_id"""
 
 
 def _dots(test: str, train: str, other: bool) -> str:
@@ -198,8 +214,8 @@ ORACLES: dict[str, str] = {
     "feature_cells": f"WITH {TFIDF}, v AS (SELECT term, row_number() OVER (ORDER BY term COLLATE \"C\") - 1 AS col_idx FROM (SELECT DISTINCT term FROM x)) SELECT doc_id, col_idx, round(v, 6) AS value FROM x JOIN v USING (term)",
     **{f"sim_{n}": _sim(n) for n in _X},
     **{f"sim_map_{n}": _sim_map(n) for n in _X},
-    **{f"sim_{n}_normalized": _normalized(n, False) for n in ("linear", "histint", "gaussian")},
-    **{f"sim_map_{n}_normalized": _normalized(n, True) for n in ("linear", "histint", "gaussian")},
+    **{f"sim_{n}_normalized": _normalized(n, False) for n in _X if n != "angulardist"},
+    **{f"sim_map_{n}_normalized": _normalized(n, True) for n in _X if n != "angulardist"},
     "top_k_similar": f"WITH {TFIDF}, {_dots('d', 'd', True)} SELECT row_id, rank::INTEGER AS rank, col_id, round(sim, 6) AS sim FROM n WHERE rank <= 10",
     "top_k_map": f"WITH {BOTH}, {_values('jaccard', 'x', 'd', 'y', 'b')} SELECT row_id, rank::INTEGER AS rank, col_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(sim, 9) DESC, col_id DESC) AS rank FROM k) WHERE rank <= 5",
     "knn_scores": f"WITH {_KNOWN}, {_knn('test', True, True)} SELECT doc_id, category, round(score, 6) AS score FROM scores",
@@ -216,6 +232,8 @@ SELECT category, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp +
     "pairwise_euclidean": f"SELECT row_id, col_id, round(dist, 6) AS dist FROM {_PAIR}",
     "rbf_kernel": f"WITH p AS MATERIALIZED (SELECT * FROM {_PAIR}) SELECT row_id, col_id, round(exp(-(1.0 / (SELECT quantile_cont(dist, 0.5) FROM p) ** 2) * dist * dist), 6) AS sim FROM p",
     "double_center": f"WITH {OWN}, {_values('cosine', 'y', 'b', 'y', 'b')} SELECT row_id, col_id, round(sim - avg(sim) OVER (PARTITION BY row_id) - avg(sim) OVER (PARTITION BY col_id) + avg(sim) OVER (), 6) AS sim FROM k",
+    "scaling_gram": f"WITH {OWN}, {_values('cosine', 'y', 'b', 'y', 'b')} SELECT row_id, col_id, round(sim - avg(sim) OVER (PARTITION BY row_id) - avg(sim) OVER (PARTITION BY col_id) + avg(sim) OVER (), 6) AS sim FROM k",
+    "distance_to_affinity": _affinity(10.0, 10e-4, 50),
     "palette": f"SELECT i AS idx, {_R} AS r, {_G} AS g, {_B} AS b FROM range(0, 100) t(i)",
     "color_index": f"SELECT doc_id, n_chars, ({_index('n_chars', 100)})::INTEGER AS color_idx FROM {_ends('n_chars', 'documents')}",
     "color_rows": f"SELECT p_partkey, p_size, {_R} AS r, {_G} AS g, {_B} AS b FROM (SELECT p_partkey, p_size, ({_index('p_size', 100)}) AS i FROM {_ends('p_size', 'part')})",

@@ -41,9 +41,22 @@ def write_json_lines(records: DataFrame, path: str) -> None:
 
 
 def write_json_array(records: DataFrame, path: str) -> None:
-    """One array in one file; for the sizes a page can show."""
-    whole = records.agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "x", "y", "title", "description", "color")))).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    """One array in one file, in the order of ids, as a page can show it; on any file system that Spark writes to. Records pass through the driver one partition at a time."""
+    spark = records.sparkSession
+    lines = records.select("id", "x", "y", "title", "description", "color").orderBy("id").select(F.to_json(F.struct("*")).alias("value"))
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file, True)
+    try:
+        head, waiting, size = "[\n", [], 0
+        for row in lines.toLocalIterator():
+            waiting.append(head + row.value)
+            head, size = ",\n", size + len(row.value)
+            if size > 1_000_000:
+                stream.write(bytearray("".join(waiting).encode()))
+                waiting, size = [], 0
+        stream.write(bytearray(("".join(waiting) + ("[\n" if head[0] == "[" else "") + "\n]").encode()))
+    finally:
+        stream.close()
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -70,16 +83,43 @@ def plot_spec(coords: DataFrame, labels: DataFrame, names: DataFrame | None = No
     return found.select(F.col("rank").alias("series"), "category", "alpha", r.alias("r"), g.alias("g"), b.alias("b"), "x", "y", "x_low", "x_high", "y_low", "y_high")
 
 
+#: Points that a picture takes.
+MOST_POINTS = 200_000
+
+
 def draw(spec: DataFrame, path: str, title: str = "") -> None:
-    """The plot as a picture; needs matplotlib."""
+    """The plot as a picture; needs matplotlib. More than MOST_POINTS points raise ValueError."""
     from matplotlib.figure import Figure
 
-    points = spec.toPandas()
+    points = spec.limit(MOST_POINTS + 1).toPandas()
+    if len(points) > MOST_POINTS:
+        raise ValueError(f"a picture takes {MOST_POINTS} points at most")
     figure = Figure()
     axes = figure.add_subplot()
     for (_, category, alpha), own in points.groupby(["series", "category", "alpha"]):
         axes.scatter(own.x, own.y, color=[own[["r", "g", "b"]].iloc[0].tolist()], alpha=alpha, label=str(category))
+    axes.set_xticks([])
+    axes.set_yticks([])
     if len(points):
         axes.set(xlim=(points.x_low[0], points.x_high[0]), ylim=(points.y_low[0], points.y_high[0]), title=title)
-        axes.legend(loc="center left", bbox_to_anchor=(1, 0.5))
-    figure.savefig(path)
+        figure.legend(loc="outside right upper")
+    figure.savefig(path, bbox_inches="tight")
+
+
+def json_to_plot(spark: SparkSession, source: str, path: str | None = None, title: str = "", names: list[str] | None = None) -> DataFrame:
+    """The plot of records that write_json_array() wrote, drawn to path if one is given. Categories are those of the titles, in their order, or names in theirs;
+    records of other categories are left out then."""
+    records = read_json(spark, source)
+    coords = records.select(F.col("id").alias("doc_id"), "x", "y")
+    labels = records.select(F.col("id").alias("doc_id"), "category")
+    listed = None
+    if names is not None:
+        listed = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "number int, name string")
+        labels = labels.join(F.broadcast(listed), labels.category == listed.name).select("doc_id", F.col("number").alias("category"))
+        spec = plot_spec(coords, labels, listed.select(F.col("number").alias("category"), "name"))
+        spec = spec.join(F.broadcast(listed), spec.category == listed.number).select(*[F.col("name").alias("category") if c == "category" else spec[c] for c in spec.columns])
+    else:
+        spec = plot_spec(coords, labels)
+    if path is not None:
+        draw(spec, path, title)
+    return spec
