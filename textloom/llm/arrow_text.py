@@ -93,18 +93,45 @@ def fold_text(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in text)
 
 
-def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of True, cut where a new text begins."""
+def alternating(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values, cut where a new text begins, and which are of True."""
     n = len(inside)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     edge = np.empty(n + 1, dtype=bool)
     edge[0] = edge[n] = True
     np.not_equal(inside[1:], inside[:-1], out=edge[1:n])
     edge[offs] = True
     at = np.flatnonzero(edge)
-    keep = inside[at[:-1]]
-    return at[:-1][keep], at[1:][keep]
+    return at[:-1], at[1:], inside[at[:-1]]
+
+
+def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, cut where a new text begins."""
+    starts, ends, keep = alternating(inside, offs)
+    return starts[keep], ends[keep]
+
+
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def short_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans of up to 16 bytes are read as two words, others go to span_hashes()."""
+    n = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    word = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
+    out = (word[starts] & _MASK[np.minimum(n, 8)]) * _U(_P) + n.astype(np.uint64)
+    more = np.flatnonzero((n > 8) & (n <= 16))
+    out[more] ^= mix((word[starts[more] + 8] & _MASK[n[more] - 8]) + _U(_Q))
+    out = mix(out)
+    long = np.flatnonzero(n > 16)
+    if len(long):
+        # few of them: their bytes alone
+        size = n[long]
+        begin = np.cumsum(size) - size
+        own = data[np.repeat(starts[long] - begin, size) + np.arange(int(size.sum()))]
+        out[long] = span_hashes(own, begin, begin + size)
+    return out
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 import tiktoken
 
-from textloom.llm.arrow_text import runs
+from textloom.llm.arrow_text import alternating
 from textloom.llm.spans_cache import SpanCache
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -49,14 +49,13 @@ def _cache(path: str) -> SpanCache:
 
 def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans that tile every text and that the pattern never joins."""
-    first, last = runs(~_SPACE[data], offs)
-    blank, end = runs(_SPACE[data], offs)
+    begins, ends, white = alternating(_SPACE[data], offs)
+    first, last, blank, end = begins[~white], ends[~white], begins[white], ends[white]
     last_byte = np.zeros(len(data) + 1, bool)
     last_byte[offs[1:]] = True
     final = last_byte[end]  # white space that ends a text is one piece
     leads = ~final & (data[end - 1] == 32)  # its last space belongs to the word after it
     cut = end - np.where(final, 0, 1)
-    first = first.copy()
     at = np.zeros(len(data) + 1, bool)
     at[end[leads]] = True
     first -= at[first]

@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 
-TOKENS, TOTAL, SLOTS, AHEAD = 4096, 1 << 24, 1 << 12, 64
+TOKENS, TOTAL, SLOTS, AHEAD = 4096, 1 << 24, 1 << 12, 128
 _I, _F = np.int32, np.float32
 _U = np.uint64
-_TOP, _BOT = _U(1 << 48), _U(1 << 32)
+_TOP, _BOT = _U(1 << 32), _U(1 << 28)
 #: Steps of trust and escape, their bounds, and what a use adds to a count.
 RATE, TRUST, ESCAPE_RATE, ESCAPE, USE = _F(1 / 24), _F(0.93), _F(1 / 32), (_F(0.002), _F(0.7)), 4
 #: Ids that can be coded.
-MOST_ID = (1 << 24) - 1
+MOST_ID = (1 << 20) - 1
 
 #: Shares of the two numbers of a context by their counts (8 * first + second), and the trust in the context before anything is known.
 _A, _B = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8), indexing="ij"))
@@ -31,7 +31,7 @@ _TRUST = np.where(_A > 0, np.minimum(0.12 + 0.13 * _A, 0.85), 0.0).astype(np.flo
 
 
 def _changes() -> tuple[np.ndarray, np.ndarray]:
-    """For counts (8 * first + second) and what came (1 the first, 2 the second, 0 neither): the new counts in their bits, and what becomes of
+    """For counts (8 * first + second) and what came (1 the first, 2 the second, 0 neither): the new counts, and what becomes of
     the numbers: 0 both stay, 1 they swap, 2 the new one is second, 3 it is first."""
     counts, what = np.zeros(256, np.int32), np.zeros(256, np.int8)
     for k in range(64):
@@ -44,12 +44,14 @@ def _changes() -> tuple[np.ndarray, np.ndarray]:
                 now, how = ((more, first), 1) if more > first else ((first, more), 0)
             else:
                 now, how = ((max(first - 1, 1), 1), 2) if first else ((1, 0), 3)
-            counts[4 * k + came], what[4 * k + came] = (now[0] << 12) + (now[1] << 27), how
+            counts[4 * k + came], what[4 * k + came] = 8 * now[0] + now[1], how
     return counts, what
 
 
 _COUNTS, _WHAT = _changes()
-_NUMBERS = _I(4095 + (4095 << 15))
+#: What stays of an entry, and where a new number goes.
+_KEEP = np.array([(1 << 30) - 64, 0, 4095 << 6, 0], np.int32)[_WHAT]
+_NEW = np.array([0, 0, 1 << 18, 1 << 6], np.int32)[_WHAT]
 
 
 class _Model:
@@ -60,7 +62,7 @@ class _Model:
         lane = np.arange(lanes)
         self.slot, self.state = np.stack([lane, lane + lanes]) * SLOTS, np.stack([lane, lane + lanes]) * 64
         self.row, self.sum_row = lane * self.width, lane * (self.width + 1)
-        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # number, count, number, count in 12, 3, 12 and 3 bits
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # counts (8 * first + second) in 6 bits, then the numbers in 12 each
         self.trust = np.tile(_TRUST, 2 * lanes)
         self.escape = np.full(lanes, ESCAPE[1], _F)
         self.counts = np.zeros((lanes, self.width), np.uint16)
@@ -86,8 +88,8 @@ class _Model:
         self.at[0] += ((last * 40503 + self.before[:n] * 30011) >> 2) & (SLOTS - 1)
         self.at[1] += last & (SLOTS - 1)
         self.e = e = self.table.take(self.at)
-        self.a, self.b = e & 4095, (e >> 15) & 4095
-        self.k = k = ((e >> 9) & 56) + (e >> 27)
+        self.k = k = e & 63
+        self.b, self.a = e >> 18, (e >> 6) & 4095
         self.s = self.state[:, :n] + k
         self.t = t = self.trust.take(self.s)
         self.fa, self.fb = _FIRST.take(k), _SECOND.take(k)
@@ -151,7 +153,11 @@ class _Model:
         came += self.is_a
         came += self.is_b * _I(2)
         what = _WHAT.take(came)
-        self.table[self.at] = np.where(what == 0, self.e & _NUMBERS, np.where(what == 2, self.a + (x << 15), np.where(what == 1, self.b + (self.a << 15), x))) + _COUNTS.take(came)
+        self.table[self.at] = (self.e & _KEEP.take(came)) + x * _NEW.take(came) + _COUNTS.take(came)
+        swap = np.flatnonzero(what.ravel() == 1)
+        if len(swap):
+            a, b = self.a.ravel().take(swap), self.b.ravel().take(swap)
+            self.table[self.at.ravel().take(swap)] = (b << 6) + (a << 18) + _COUNTS.take(came.ravel().take(swap))
         self.flat_counts[self.row[:n] + x] += USE
         lane = np.flatnonzero(new)
         if len(lane):
@@ -165,15 +171,15 @@ class _Model:
 class _Encoder:
     def __init__(self, lanes: int, tokens: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.width = tokens + 64
-        self.out, self.n = np.zeros(lanes * self.width, np.uint16), np.zeros(lanes, np.int64)
+        self.width = tokens // 2 + 64
+        self.out, self.n = np.zeros(lanes * self.width, np.uint32), np.zeros(lanes, np.int64)
 
     def make_room(self, words: int) -> None:
-        """So that each lane can take this many more 16-bit words."""
+        """So that each lane can take this many more words."""
         if int(self.n.max()) + words > self.width:
             old, lanes = self.width, len(self.n)
             self.width = int(self.n.max()) + words + old // 4
-            out = np.zeros((lanes, self.width), np.uint16)
+            out = np.zeros((lanes, self.width), np.uint32)
             out[:, :old] = self.out.reshape(lanes, old)
             self.out = out.ravel()
 
@@ -185,12 +191,14 @@ class _Encoder:
         k = np.flatnonzero(settled | (r < _BOT))
         while len(k):
             lk, rk, settled = low.take(k), r.take(k), settled.take(k)
-            rk = np.where(settled, rk, (_U(0) - lk) & (_BOT - _U(1))) << _U(16)
+            if not settled.all():
+                rk = np.where(settled, rk, (_U(0) - lk) & (_BOT - _U(1)))
+            rk <<= _U(32)
             who = k if isinstance(lane, slice) else lane.take(k)
             n = self.n.take(who)
-            self.out[n + who * self.width] = lk >> _U(48)
+            self.out[n + who * self.width] = lk >> _U(32)
             self.n[who] = n + 1
-            lk <<= _U(16)
+            lk <<= _U(32)
             low[k], r[k] = lk, rk
             settled = (lk ^ (lk + rk)) < _TOP
             more = settled | (rk < _BOT)
@@ -203,22 +211,22 @@ class _Encoder:
         self.low[lane], self.range[lane] = low, r
 
     def finish(self) -> list[bytes]:
-        for shift in (48, 32, 16, 0):
-            self.out[np.arange(len(self.n)) * self.width + self.n] = (self.low >> _U(shift)) & _U(0xFFFF)
+        for shift in (32, 0):
+            self.out[np.arange(len(self.n)) * self.width + self.n] = (self.low >> _U(shift)) & _U(0xFFFFFFFF)
             self.n += 1
-        return [self.out[i * self.width : i * self.width + n].astype("<u2").tobytes() for i, n in enumerate(self.n)]
+        return [self.out[i * self.width : i * self.width + n].astype("<u4").tobytes() for i, n in enumerate(self.n)]
 
 
 class _Decoder:
     def __init__(self, payloads: list[bytes]):
-        words = [np.frombuffer(p, "<u2") for p in payloads]
+        words = [np.frombuffer(p, "<u4") for p in payloads]
         self.data = np.zeros((len(words), max(map(len, words)) + 8), np.uint64)
         for i, w in enumerate(words):
             self.data[i, : len(w)] = w
         self.low, self.range = np.zeros(len(words), np.uint64), np.full(len(words), 2**64 - 1, np.uint64)
         self.code, self.n = np.zeros(len(words), np.uint64), np.zeros(len(words), np.int64)
-        for _ in range(4):
-            self.code = (self.code << _U(16)) | self.data[np.arange(len(words)), self.n]
+        for _ in range(2):
+            self.code = (self.code << _U(32)) | self.data[np.arange(len(words)), self.n]
             self.n += 1
 
     def target(self, lane: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -235,22 +243,21 @@ class _Decoder:
             k = np.flatnonzero(move)
             cramped = k[~settled[k]]
             r[cramped] = (_U(0) - low[cramped]) & (_BOT - _U(1))
-            code[k] = (code[k] << _U(16)) | self.data[lane[k], self.n[lane[k]]]
+            code[k] = (code[k] << _U(32)) | self.data[lane[k], self.n[lane[k]]]
             self.n[lane[k]] += 1
-            low[k] <<= _U(16)
-            r[k] <<= _U(16)
+            low[k] <<= _U(32)
+            r[k] <<= _U(32)
         self.low[lane], self.range[lane], self.code[lane] = low, r, code
 
 
 def numbered(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each id's number in the order of first use, and whether it is used first."""
-    own = block.astype(np.uint16) if len(block) and block.max() < 1 << 16 else block
-    _, first, back = np.unique(own, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int32)
-    rank[np.argsort(first)] = np.arange(len(first))
-    new = np.zeros(len(block), bool)
-    new[first] = True
-    return rank[back], new
+    n = len(block)
+    seen = np.zeros(int(block.max()) + 1 if n else 1, np.int32)
+    seen[block[::-1]] = np.arange(n - 1, -1, -1, dtype=np.int32)  # of equal ids the last assigned stays: the first in the block
+    first = seen[block]
+    new = first == np.arange(n)
+    return (np.cumsum(new, dtype=np.int32) - 1)[first], new
 
 
 def low_bits(block: np.ndarray) -> int:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from textloom.llm.arrow_text import span_hashes
+from textloom.llm.arrow_text import short_hashes
 
 _U = np.uint64
 
@@ -89,7 +89,7 @@ class SpanCache:
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         if self.size > self.limit:
             self.clear()
-        keys = np.maximum(span_hashes(data, starts, ends), _U(1))
+        keys = np.maximum(short_hashes(data, starts, ends), _U(1))
         row = self.rows.find(keys)
         new = np.flatnonzero(row < 0)
         if len(new):
