@@ -1,32 +1,12 @@
-"""What the operators need of the session: the shared folder, and tables cut from their lineage."""
+"""What the operators need of the session beside textloom.session: tables, and names of columns."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.session import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, spark.checkpoint.dir; set as the checkpoint folder.
-
-    Only where it is unset and the session is local does a temporary folder take its place.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="textloom-")
-        sc.setCheckpointDir(folder)
-    return folder or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["cut", "quoted", "shared_folder", "table", "unused"]
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
