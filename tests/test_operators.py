@@ -173,6 +173,21 @@ def test_normalized_similarity(sparse):
         similarity.self_similarity(*sparse, "nothing")
 
 
+def test_angle_of_a_document_with_itself_is_exact(spark):
+    rng = random.Random(8)
+    own = {d: {f"t{t}": rng.random() for t in rng.sample(range(40), 6)} for d in range(30)} | {30: {"t0": 0.0}, 31: {}}
+    features, docs = spark.createDataFrame([(d, t, v) for d, x in own.items() for t, v in x.items()], "doc_id long, term string, value double"), spark.range(32).toDF("doc_id")
+    found = {(r.row_id, r.col_id): r.sim for r in similarity.self_similarity(features, docs, "angularsim", True).collect()}
+    for i in own:
+        for j in own:
+            if i >= 30 and j >= 30:
+                assert found[i, j] is None
+            elif i != j:
+                assert abs(found[i, j] - plain("angularsim", own[i], own[j])) < 1e-12, (i, j)
+    for name, whole, none in (("cosine", 1.0, 0.0), ("angularsim", 1.0, 0.0), ("angulardist", 0.0, 1.0)):
+        assert {r.doc_id: r.own for r in similarity.self_values(features, docs, name).collect()} == {d: whole if d < 30 else none for d in own}
+
+
 def test_blocks_give_the_neighbours_of_all_pairs(spark):
     rng = random.Random(3)
     rows = [(d, f"t{t}", rng.choice([0.5, 1.0, 2.0])) for d in range(40) for t in rng.sample(range(30), rng.randrange(6))]
