@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_operators import plain
 from textloom.operators import blocks, pairs, similarity
 from textloom.operators.features import Tfidf
+from textloom.plans import catalog
 
 
 def corpus(spark, n, ids="long", seed=3):
@@ -79,3 +81,31 @@ def test_packed_features_are_the_long_ones(spark, monkeypatch, renorm):
     long = {(r.doc_id, r.term): round(r.value, 9) for r in model.transform(docs).collect()}
     assert {(r.doc_id, names[t]): round(v, 9) for r in rows for t, v in zip(r.terms, r["values"], strict=True)} == long
     assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 5] and len(model.files) > 1
+
+
+def test_similarities_of_queries_shuffle_neither_features_nor_pairs(spark):
+    for name in ("sim_map_chebyshev", "sim_map_dice_normalized"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Cartesian" not in plan and plan.count("Exchange") <= 1, plan  # spread() of the documents
+
+
+@pytest.mark.parametrize("sim", ["chebyshev", "manhattan", "chisq", "jaccard", "angularsim"])
+def test_similarities_of_many_blocks_and_lots(spark, monkeypatch, sim):
+    rng = random.Random(4)
+    low = -1.0 if sim == "chebyshev" else 0.0
+    own = [{f"t{t}": rng.choice([low, 0.0, 0.5, 1.0, rng.random()]) for t in rng.sample(range(15), rng.randrange(9))} for _ in range(40)]
+    own[7], own[9], own[11] = {}, {}, own[3]
+    packed = blocks.pack(spark.createDataFrame([(d, t, v) for d, x in enumerate(own) for t, v in x.items()], "doc_id long, term string, value double"), spark.range(40).toDF("doc_id"))
+    for name, most in (("BLOCK_DOCS", 6), ("TABLE_DOCS", 6), ("TABLE_ENTRIES", 20), ("TABLE_ROWS", 5), ("LOT_ENTRIES", 30), ("LOT_PAIRS", 50)):
+        monkeypatch.setattr(similarity, name, most)
+    for normalize in (False, True):
+        found = {(r.row_id, r.col_id): r.sim for r in similarity.cross_packed(packed, packed, sim, normalize).collect()}
+        assert len(found) == 1600
+        one = {i: plain(sim, own[i], own[i]) for i in range(40)}
+        for (i, j), got in found.items():
+            expected = plain(sim, own[i], own[j])
+            if normalize and expected is not None:
+                # the angle of a document with itself is exact
+                mean = ((1.0 if any(own[i].values()) else 0.0) + (1.0 if any(own[j].values()) else 0.0)) / 2 if sim == "angularsim" else None if None in (one[i], one[j]) else (one[i] + one[j]) / 2
+                expected = expected / mean if mean else None
+            assert got == (None if expected is None else pytest.approx(expected, rel=1e-9, abs=1e-7, nan_ok=True)), (i, j)
