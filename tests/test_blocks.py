@@ -109,3 +109,28 @@ def test_similarities_of_many_blocks_and_lots(spark, monkeypatch, sim):
                 mean = ((1.0 if any(own[i].values()) else 0.0) + (1.0 if any(own[j].values()) else 0.0)) / 2 if sim == "angularsim" else None if None in (one[i], one[j]) else (one[i] + one[j]) / 2
                 expected = expected / mean if mean else None
             assert got == (None if expected is None else pytest.approx(expected, rel=1e-9, abs=1e-7, nan_ok=True)), (i, j)
+
+
+def test_distances_in_blocks(spark, monkeypatch):
+    for name, most in (("BLOCK_VECTORS", 7), ("LOT_VECTORS", 20)):
+        monkeypatch.setattr(pairs, name, most)
+    rng = random.Random(6)
+    own = {f"v{i}": [rng.gauss(0, 100) for _ in range(5)] for i in range(30)} | {"short": [1.0], "none": None, "part": [1.0, None, 0.0, 2.0, 1.0], "twin": None}
+    own["twin"] = own["v3"]
+    found = pairs.pairwise_distance(spark.createDataFrame(list(own.items()), "vec_id string, embedding array<double>"))
+    assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.row_id, r.col_id): r.dist for r in found.collect()}
+    assert len(rows) == 34 * 34 and rows["v3", "twin"] == 0 == rows["short", "short"]
+    for (i, j), d in rows.items():
+        x, y = own[i], own[j]
+        known = x is not None and y is not None and len(x) == len(y) and None not in x and None not in y
+        assert d == (pytest.approx(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) ** 0.5) if known else None)
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [3.0] * 9, [float(i * i) for i in range(1000)], [0.0] * 400 + [float(i) for i in range(399)], [0.0] * 400 + [5.0] * 400, [1.0, None, float("nan")], [None], [-2.0, 1e300, 7.0, 7.5]])
+def test_median_is_exact(spark, monkeypatch, values):
+    for name, most in (("RANGES", 8), ("MOST_VALUES", 1)):
+        monkeypatch.setattr(pairs, name, most)
+    frame = spark.createDataFrame([(v,) for v in values], "d double")
+    expected = frame.agg(F.percentile("d", F.lit(0.5))).first()[0]
+    assert repr(pairs.median(frame, "d")) == repr(expected)
