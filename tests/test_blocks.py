@@ -134,3 +134,16 @@ def test_median_is_exact(spark, monkeypatch, values):
     frame = spark.createDataFrame([(v,) for v in values], "d double")
     expected = frame.agg(F.percentile("d", F.lit(0.5))).first()[0]
     assert repr(pairs.median(frame, "d")) == repr(expected)
+
+
+def test_transforming_shuffles_nothing(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "LONG_DOCS", 2)
+    docs = spark.createDataFrame([(1, "new york a"), (2, "new york b b"), (3, None), (4, "new york"), (5, "c")], "doc_id long, text string")
+    model = Tfidf().fit(docs)
+    found = model.transform(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan, plan
+    rows = {(r.doc_id, r.term): r.value for r in found.collect()}
+    assert rows.keys() == {(1, "new_york"), (1, "a"), (2, "new_york"), (2, "b"), (4, "new_york"), (5, "c")}
+    for d in (1, 2, 4, 5):
+        assert sum(v * v for (i, _), v in rows.items() if i == d) == pytest.approx(1.0)

@@ -27,6 +27,8 @@ from textloom.session import shared_folder
 BLOCK_DOCS, BLOCK_ENTRIES = 4096, 4_000_000
 #: Weights of one file.
 WEIGHTS_A_FILE = 1_000_000
+#: Documents whose entries make one batch of rows.
+LONG_DOCS = 1000
 #: Files that a worker keeps open.
 OPEN_FILES = 64
 
@@ -162,22 +164,36 @@ def sizes(norm: str, doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return total if norm == "sum" else total / count
 
 
+def _weigh(batch: pa.RecordBatch, files: list[tuple[int, str]], renorm: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the entries that have weights, their documents, terms, and values times weights over their norm."""
+    doc, terms, values = entries(batch)
+    weight = weights_of(terms, files) if files else np.full(len(terms), np.nan)
+    known = np.flatnonzero(~np.isnan(weight))
+    doc, terms, values = doc[known], terms[known], values[known] * weight[known]
+    if renorm == "binary":
+        values = np.ones(len(values))
+    elif renorm:
+        size = sizes(renorm, doc, values, batch.num_rows)
+        values = values / np.where(size != 0, size, 1.0)[doc]
+    return known, doc, terms, values
+
+
 def weighted(files: list[tuple[int, str]], renorm: str | None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     """A finish of Packed: values times weights, without terms that have none, over their norm."""
+    return lambda batch: batch_of(batch.column("doc_id"), *_weigh(batch, files, renorm)[1:])
+
+
+def weighted_long(files: list[tuple[int, str]], renorm: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """weighted(), to a row (doc_id, term, value) for each entry; the batches also hold the terms' names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, LONG_DOCS):
+                part = batch.slice(at, LONG_DOCS)
+                known, doc, _, values = _weigh(part, files, renorm)
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(doc)), "term": part.column("names").flatten().take(pa.array(known)), "value": values})
 
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, terms, values = entries(batch)
-        weight = weights_of(terms, files) if files else np.full(len(terms), np.nan)
-        known = ~np.isnan(weight)
-        doc, terms, values = doc[known], terms[known], values[known] * weight[known]
-        if renorm == "binary":
-            values = np.ones(len(values))
-        elif renorm:
-            size = sizes(renorm, doc, values, batch.num_rows)
-            values = values / np.where(size != 0, size, 1.0)[doc]
-        return batch_of(batch.column("doc_id"), doc, terms, values)
-
-    return finish
+    return run
 
 
 # Blocks

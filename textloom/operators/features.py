@@ -3,20 +3,20 @@
 Features are long: (doc_id, term, value). Documents without terms have no rows there, so the table of documents goes beside it; they
 count in the number of documents. Terms whose weight is 0 keep their rows. Ids of documents are unique.
 
-A document's counts and their norm are made within its row. What is shuffled is one row for each term and partition to fit, and to transform, the features once by term (unless the weights are
-small enough to be broadcast) and once by document.
+A document's counts and their norms are made within its row. To fit, one row for each term and partition is shuffled; to transform, nothing:
+workers look weights up by 64-bit hash in files that they map into memory.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import clean_text, tokens
-from textloom.operators.blocks import Packed, save_weights, weighted
-from textloom.operators.maps import fixed, normalise, normalise_lists
+from textloom.operators.blocks import Packed, save_weights, weighted, weighted_long
+from textloom.operators.maps import fixed, normalise_lists
 from textloom.operators.phrases import find_bigrams, replace_bigrams
 from textloom.session import cut
 
@@ -49,6 +49,10 @@ def idf_weights(features: DataFrame, n_docs: int) -> DataFrame:
     return raw.crossJoin(F.broadcast(top)).select("term", "df", F.when(F.col("top") != 0, F.col("idf") / F.col("top")).otherwise(F.col("idf")).alias("weight"))
 
 
+def _hashes() -> Column:
+    return F.transform("entries", lambda e: F.xxhash64(e["term"]))
+
+
 @dataclass
 class TfidfModel:
     """What fitting finds: phrases and weights. Both are tables, saved and read as Parquet."""
@@ -56,7 +60,7 @@ class TfidfModel:
     params: Tfidf
     bigrams: DataFrame | None
     weights: DataFrame | None
-    #: The weights as packed() reads them, once it has been called.
+    #: The weights as workers read them, once they have been needed.
     files: list[tuple[int, str]] | None = None
 
     def prepared(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,31 +68,30 @@ class TfidfModel:
         clean = docs.select(F.col(doc_id).alias("doc_id"), clean_text(F.col(text), p.to_lower, p.norm_num).alias("text"))
         return clean if self.bigrams is None else replace_bigrams(clean, self.bigrams)
 
-    def transform(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc_id, term, value); terms that fitting did not see go."""
+    def _lists(self, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+        """(doc_id, entries), up to the weights: where there are any, their files are there as well and the last norm is not applied."""
         p = self.params
         lists = term_lists(self.prepared(docs, doc_id, text))
         if p.norm:
             lists = normalise_lists(lists, norm=p.norm)
         if self.weights is None:
-            return long(normalise_lists(lists, norm=p.renorm) if p.renorm else lists)
-        found = long(lists).join(self.weights.select("term", "weight"), "term").select("doc_id", "term", (F.col("value") * F.col("weight")).alias("value"))
-        return (normalise(found, "doc_id", norm=p.renorm) if p.renorm else found).select("doc_id", "term", "value")
-
-    def packed(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Packed:
-        """transform() with one row for each document, those without terms included, and terms as hashes: workers look weights up in files, so no feature is shuffled."""
-        p = self.params
-        lists = term_lists(self.prepared(docs, doc_id, text))
-        if p.norm:
-            lists = normalise_lists(lists, norm=p.norm)
-        if self.weights is None and p.renorm:
-            lists = normalise_lists(lists, norm=p.renorm)
-        table = lists.select("doc_id", F.transform("entries", lambda e: F.xxhash64(e["term"])).alias("terms"), F.col("entries.value").alias("values"))
-        if self.weights is None:
-            return Packed(table)
+            return normalise_lists(lists, norm=p.renorm) if p.renorm else lists
         if self.files is None:
             self.files = save_weights(self.weights)
-        return Packed(table, weighted(self.files, p.renorm))
+        return lists
+
+    def transform(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """(doc_id, term, value); terms that fitting did not see go."""
+        lists = self._lists(docs, doc_id, text)
+        if self.weights is None:
+            return long(lists)
+        table = lists.select("doc_id", F.col("entries.term").alias("names"), _hashes().alias("terms"), F.col("entries.value").alias("values"))
+        return table.mapInArrow(weighted_long(self.files, self.params.renorm), f"doc_id {table.schema['doc_id'].dataType.simpleString()}, term string, value double")
+
+    def packed(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Packed:
+        """transform() with one row for each document, those without terms included, and terms as hashes."""
+        table = self._lists(docs, doc_id, text).select("doc_id", _hashes().alias("terms"), F.col("entries.value").alias("values"))
+        return Packed(table, None if self.weights is None else weighted(self.files, self.params.renorm))
 
     def save(self, path: str) -> None:
         for name in ("bigrams", "weights"):
